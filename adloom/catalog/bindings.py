@@ -219,12 +219,35 @@ CARD_PAGE = (
 )
 
 
+LISTINGS = [
+    "<div><h4>{brand}</h4><a data-q='search-result-anchor' href='/job/{key}?x=1'><span>go</span></a>"
+    "<a data-q='search-result-anchor' href='more/{key}'><h3> {name} </h3></a></div><a href='/p/9'>no</a>",
+    "<p><a href='/p/{key}/../{size}'><b class='my-title'>{name}</b></a><a href='/p/{key}'>bare</a></p><a href='/q/1'>no</a>",
+    "<p>no ads</p><a href='/q/1'>no</a>",
+]
+CARD_LISTING = (
+    "<a href='/oferta/praca/{key}.html?r=1'><div><h4>{name}</h4></div></a>"
+    "<a href='https://x.example.org/oferta/praca/{size}'><h3>none</h3></a><a href='/other'><h4>no</h4></a>"
+)
+
+
+def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.col("p_partkey") % len(LISTINGS)
+    html = F.coalesce(*[F.when(kind == i, _filled(t)) for i, t in enumerate(LISTINGS)])
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+def card_listing_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("page_id"), _filled(CARD_LISTING).alias("html"))
+
+
 def _filled(template: str) -> Column:
     place = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<h4>Area "), F.col("p_size"), F.lit("</h4>"))).otherwise("")
     pay = F.when(F.col("p_partkey") % 3 == 0, "Salary range").otherwise("Pay")
     values = {
         "{name}": F.col("p_name"), "{brand}": F.col("p_brand"), "{kind}": F.col("p_type"),
         "{size}": F.col("p_size").cast("string"), "{place}": place, "{pay}": pay,
+        "{key}": F.col("p_partkey").cast("string"),
     }
     page = F.lit(template)
     for mark, value in values.items():

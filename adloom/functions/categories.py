@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +21,10 @@ CATEGORY_TERMS = {
 
 def category_of(text: Column, rules: Mapping[str, Sequence[str]] = CATEGORY_TERMS) -> Column:
     """The first category with a term that is a whole word in the text, else null."""
-    def rule(chain, item):
-        name, terms = item
-        pattern = r"(?iU)\b(?:" + "|".join(re.escape(t) for t in terms) + r")\b"
-        return (chain or F).when(text.rlike(pattern), F.lit(name))
+    def hit(terms: Sequence[str]) -> Column:
+        return text.rlike(r"(?iU)\b(?:" + "|".join(re.escape(t) for t in terms) + r")\b")
 
-    return reduce(rule, rules.items(), None)
+    return F.coalesce(*[F.when(hit(terms), F.lit(name)) for name, terms in rules.items()])
 
 
 def category_filter(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from adloom.operators import duplicates as dup
 from adloom.operators.validity import quality_counts, without_errors
 from adloom.sources import files
-from adloom.sources.ads import read_csv_columns
+from adloom.sources.ads import WRITING, read_csv_columns
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def clean_errors(
     fresh = f"{path}.staging_{uuid.uuid4().hex}"
     writer = without_errors(table).write
     if fmt == "csv":
-        writer.options(header="true", escape='"', emptyValue="").csv(fresh)
+        writer.options(**WRITING).csv(fresh)
     else:
         writer.format(fmt).save(fresh)
     kept = f"{path}.backup_{(now or datetime.now()):%Y%m%d_%H%M%S}"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from adloom.operators import duplicates as dup
 from adloom.operators.validity import quality_counts
+from adloom.sources.ads import WRITING
 
 
 @dataclass(frozen=True)
@@ -40,5 +41,5 @@ def write_report(analysis: Uniqueness, path: str) -> bool:
     overall = analysis.verdict.filter(f"type = '{dup.OVERALL}'").first()
     if overall["verdict"] == "OK":
         return False
-    analysis.report.write.mode("overwrite").options(header="true", escape='"', emptyValue="").csv(path)
+    analysis.report.write.mode("overwrite").options(**WRITING).csv(path)
     return True

@@ -11,11 +11,20 @@ from pyspark.sql import types as T
 
 from adloom.operators.shape import align
 from adloom.schema import ADS_COLUMNS, ADS_SCHEMA, BAD_RECORD, FIRST_POSITION
-from adloom.sources.files import exists
+from adloom.sources.files import exists, is_folder
 
 # RFC-style quoting: quotes are doubled and fields may span lines.
 QUOTING = {"quote": '"', "escape": '"', "multiLine": "true"}
 
+# Empty text stays bare and blanks around a value are kept.
+WRITING = {
+    "header": "true",
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
 
 def empty_ads(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ADS_SCHEMA)
@@ -86,16 +95,24 @@ def record_positions(df: DataFrame, name: str = "pos") -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the ad columns in their order, with a header; empty text stays bare."""
-    align(df).write.mode(mode).options(header="true", escape='"', emptyValue="").csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True) -> None:
+    """Write the ad columns in their order."""
+    align(df).write.mode(mode).options(**{**WRITING, "header": str(header).lower()}).csv(path)
 
 
 def append_parquet(df: DataFrame, path: str) -> None:
-    """Append ads to the stored table; `source` and the date partition it where present."""
+    """Append ads to the stored table."""
     df.write.mode("append").parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Stored ads, or an empty table if nothing has been stored yet."""
     return spark.read.parquet(path) if exists(spark, path) else empty_ads(spark)
+
+
+def stream_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Follow a Parquet folder, or a single Parquet file as a stream that ends with it."""
+    if is_folder(spark, path):
+        return spark.readStream.schema(schema).parquet(path)
+    parent, name = path.rsplit("/", 1)
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)

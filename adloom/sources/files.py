@@ -15,6 +15,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.getFileStatus(p).isDirectory())
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
     fs, p = _fs(spark, source)
     if not fs.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target)):
