@@ -9,6 +9,7 @@ from adloom.functions.text import WHITESPACE
 from adloom.operators.crawl import fingerprint
 from adloom.operators.running import rank_in_order
 from adloom.schema import ADS_COLUMNS, ERROR_TITLE
+from adloom.session import materialize
 
 HOST = "https://ads.example.com"
 RUN_TIME = "2024-05-01 08:00:00"
@@ -114,9 +115,10 @@ def crawl_log(spark: SparkSession, folder: str) -> DataFrame:
         "page_num", F.floor((F.col("rank") + (PAGE_SIZE - 1)) / PAGE_SIZE)
     )
     ids = F.sort_array(F.collect_list(F.when(F.col("event_type") != "error", F.struct("event_id", "event_type"))))
-    return paged.groupBy("crawl_id", "page_num").agg(
+    log = paged.groupBy("crawl_id", "page_num").agg(
         F.count_if(F.col("event_type") != "error").alias("n_links"), fingerprint(ids.event_type).alias("fp")
     )
+    return materialize(log, "crawl-log")
 
 
 CRAWL_LOG = f"""items AS (

@@ -53,7 +53,7 @@ _UNESCAPED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&middot;": "·", "&amp;"
 
 def _unescape(c: str) -> str:
     for a, z in _UNESCAPED.items():
-        c = f"replace({c}, '{a}', '{z}')"
+        c = f"regexp_replace({c}, '{a}?', '{z}', 'g')"
     return c
 
 

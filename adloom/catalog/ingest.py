@@ -9,7 +9,7 @@ from adloom.operators import batches, crawl
 from adloom.operators import incremental as inc
 from adloom.operators import shape
 from adloom.plans.ingest import ingest_by_id, ingest_by_title
-from adloom.session import staging_path
+from adloom.session import materialize, staging_path
 from adloom.sources.ads import append_parquet
 
 
@@ -21,6 +21,10 @@ def _by_id(links, s, f):
     return inc.accepted(links, _stored_ids(s, f), "id")
 
 
+def _candidates(s, f):
+    return materialize(_by_id(b.links(s, f), s, f), "candidates")
+
+
 def _appended(s, f):
     path = staging_path(s, "append")
     shape.align(b.stored(s, f)).write.parquet(path)
@@ -44,8 +48,7 @@ def _pages(s, f):
 
 
 def _new_sizes(s, f):
-    new = _by_id(b.links(s, f), s, f)
-    return new.groupBy("crawl_id", "page_num").agg(F.count("*").alias("n"))
+    return _candidates(s, f).groupBy("crawl_id", "page_num").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -62,17 +65,19 @@ QUERIES = {
     ),
     "crawl_summary": lambda s, f: inc.crawl_summary(b.stored(s, f), b.links(s, f), _by_id(b.links(s, f), s, f)),
     "incremental_by_id": lambda s, f: ingest_by_id(
-        b.links(s, f).withColumn("id", F.concat("id", F.lit(".html"))), b.stored(s, f), b.target(s, f)
+        materialize(b.links(s, f).withColumn("id", F.concat("id", F.lit(".html"))), "links"), b.stored(s, f), b.target(s, f)
     ).select("pos", "id", "title"),
-    "incremental_by_title": lambda s, f: ingest_by_title(b.links(s, f), b.stored(s, f), target=20).select(
+    "incremental_by_title": lambda s, f: ingest_by_title(
+        materialize(b.links(s, f), "links"), b.stored(s, f), target=20
+    ).select(
         "pos", "url", "title"
     ),
     "incremental_append": _appended,
     "budget_cut": lambda s, f: inc.budget_cut(
-        _by_id(b.links(s, f), s, f), inc.remaining(b.target(s, f), b.stored(s, f)), width=1000
+        _candidates(s, f), inc.remaining(b.target(s, f), b.stored(s, f)), width=1000
     ).select("pos", "id"),
     "budget_cut_by_source": lambda s, f: inc.budget_cut(
-        _by_id(b.links(s, f), s, f), 15, by=["crawl_id"], width=1000
+        _candidates(s, f), 15, by=["crawl_id"], width=1000
     ).select("crawl_id", "pos", "id"),
     "budget_cut_pages": lambda s, f: inc.budget_cut_pages(_new_sizes(s, f), 15, by=["crawl_id"], page="page_num", width=4),
     "page_fingerprint": lambda s, f: crawl.stuck_pages(b.crawl_log(s, f), width=16),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,23 +11,20 @@ H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 TAG = r"(?s)<[^>]*>"
 HREF = r"""(?is)<a\b[^>]*?\shref="([^"]+)\""""
 
-# Character references of HTML, the ampersand last.
-_ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&#39;": "'",
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&pound;": "£",
-    "&euro;": "€",
-    "&middot;": "·",
-    "&amp;": "&",
-}
+# Character references, the ampersand last. Text may leave out the semicolon of all but the
+# second group.
+_LOOSE = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": "\u00a0", "pound": "£", "middot": "·", "copy": "©"}
+_STRICT = {"apos": "'", "euro": "€"}
 
 
-def unescape(text: Column) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), _ENTITIES.items(), text)
+def unescape(text: Column, strict: bool = False) -> Column:
+    """Resolve the common character references; `strict` is for attribute values."""
+    for name, char in {**_LOOSE, **_STRICT, "amp": "&"}.items():
+        if strict or name in _STRICT:
+            text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+        else:
+            text = F.regexp_replace(text, f"&{name};?", char)
+    return text
 
 
 def title_of(html: Column) -> Column:
@@ -39,4 +34,4 @@ def title_of(html: Column) -> Column:
 
 def hrefs_of(html: Column) -> Column:
     """Targets of all anchors in document order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), unescape)
+    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: unescape(h, strict=True))

@@ -23,7 +23,7 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Turn every whitespace run into one space and drop it at both ends."""
-    return F.btrim(F.regexp_replace(text, f"[{WHITESPACE}]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "), F.lit(" "))
 
 
 def normalized(title: Column) -> Column:

@@ -92,10 +92,12 @@ def duplicates(marked: DataFrame, positions_per_row: int = POSITIONS_PER_ROW) ->
     """
     cells = (
         marked.withColumn("slab", slab_of("pos", positions_per_row))
+        .filter("slab IS NOT NULL")
         .groupBy("type", "key", "slab")
         .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     )
-    # Sizes are taken from the arrays, so that both uses of `cells` share one shuffle.
+    # Sizes are taken from the arrays, and the filter on the slab is the one the join would add, so
+    # that both uses of `cells` are the same plan and share one scan and one shuffle.
     repeated = (
         cells.groupBy("type", "key")
         .agg(

@@ -9,6 +9,7 @@ rows, and carry the result from slab to slab with a second window over one row p
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +18,12 @@ from pyspark.sql import functions as F
 SLAB_WIDTH = 1_000_000
 
 
+def _cut(df: DataFrame, by: Sequence[str], pos: str, width: int) -> DataFrame:
+    """Add the slab; the filter is the one a join on the keys adds, here for all uses alike."""
+    present = reduce(Column.__and__, [F.col(k).isNotNull() for k in [*by, "_slab"]])
+    return df.withColumn("_slab", slab_of(pos, width)).filter(present)
+
+
 def slab_of(pos: str, width: int) -> Column:
     """The first position of the slab a position lies in."""
     return F.col(pos) - F.pmod(F.col(pos), F.lit(width))
@@ -32,10 +39,12 @@ def running_totals(
 ) -> DataFrame:
     """Add running sums in position order within each group, the current row included.
 
+    Rows without group key or position belong to no group and are left out.
+
     `totals` maps names in `sums` to columns that get the sum over the whole group.
     """
     keys = [*by, "_slab"]
-    cut = df.withColumn("_slab", slab_of(pos, width))
+    cut = _cut(df, by, pos, width)
     over_slabs = W.partitionBy(*by)
     before = over_slabs.orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
     slabs = cut.groupBy(*keys).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in sums.items()])
@@ -64,7 +73,7 @@ def previous_value(
 ) -> DataFrame:
     """Add the value of the preceding row of the group, null on its first row."""
     keys = [*by, "_slab"]
-    cut = df.withColumn("_slab", slab_of(pos, width))
+    cut = _cut(df, by, pos, width)
     last = cut.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), pos).alias("_last"))
     carried = last.select(*keys, F.lag("_last").over(W.partitionBy(*by).orderBy("_slab"))["v"].alias("_carried"))
     inside = W.partitionBy(*keys).orderBy(pos)

@@ -1,7 +1,9 @@
 """Incremental ingest: which links of a crawl become new ads.
 
 Links have crawl_id, page_num, pos (order over all crawls, unique), id, url and title. A listing
-page without links is one row with a null id.
+page without links is one row with a null id. They are read several times, so they should be a
+stored table and not an extraction that would run again. What is derived from them and used more
+than once (one row per page, one narrow row per new link) is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from adloom.operators import incremental as inc
 from adloom.operators.crawl import FINGERPRINT_IDS, PAGE_CAP, crawl_prefix, fingerprint
+from adloom.session import materialize
 from adloom.sources.pages import extract_ads
 
 PAGE = ["crawl_id", "page_num"]
@@ -38,6 +41,7 @@ def reached(links: DataFrame, cap: int | None = None, detect_loops: bool = True)
     log = page_log(links)
     if not detect_loops:
         log = log.withColumn("fp", F.lit(None).cast("string"))
+    log = materialize(log, "page-log")
     return links.filter("id IS NOT NULL").join(crawl_prefix(log, cap).select(*PAGE), PAGE, "left_semi")
 
 
@@ -47,7 +51,8 @@ def ingest_by_id(
     """New links by identifier, with a title, until the target is reached together with the
     stored ads."""
     new = inc.accepted(reached(links, cap), inc.stored_ids(stored), "id")
-    return inc.budget_cut(new.filter("title != ''"), inc.remaining(target, stored))
+    new = materialize(new.filter("title != ''"), "new-links")
+    return inc.budget_cut(new, inc.remaining(target, stored))
 
 
 def ingest_by_title(
@@ -58,6 +63,7 @@ def ingest_by_title(
     new = inc.accepted(named, inc.stored_titles(stored), "title_key").drop("title_key")
     if target is None:
         return new
+    new = materialize(new, "new-links")
     sizes = new.groupBy(*PAGE).agg(F.count("*").alias("n"))
     kept = inc.budget_cut_pages(sizes, target, by=["crawl_id"], page="page_num")
     return new.join(kept.select(*PAGE), PAGE, "left_semi")

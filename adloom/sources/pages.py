@@ -18,8 +18,9 @@ from adloom.functions.salary import salary_clean, salary_or_extracted
 from adloom.functions.text import collapse, first_filled, stamp, strip
 from adloom.functions.urls import absolute_url, canonical_url, id_from_html_url, id_from_url
 from adloom.schema import ADS_COLUMNS
+from adloom.session import spread
 from adloom.sources import pagetree
-from adloom.sources.pagetree import read_page
+from adloom.sources.pagetree import read_fields, read_links
 
 # Executors need not have this package installed: the helper travels with the function.
 register_pickle_by_value(pagetree)
@@ -64,13 +65,14 @@ ALL_LABELS = [*SALARY_LABELS, *CONTRACT_LABELS, *HOURS_LABELS, *COMPANY_LABELS,
 # heading around it (`near`, marked links only) and its level-four heading.
 PAGE_TYPE = (
     "struct<title:string,after_h1:map<string,string>,labels:map<string,string>,cards:map<string,string>,"
-    "described:string,blocks:map<string,string>,"
-    "links:array<struct<href:string,marked:boolean,own:string,near:string,h4:string>>,_error:string>"
+    "described:string,blocks:map<string,string>,_error:string>"
+)
+LINKS_TYPE = (
+    "struct<links:array<struct<href:string,marked:boolean,own:string,near:string,h4:string>>,_error:string>"
 )
 
 _TEXT = pa.string()
 _TEXTS = pa.map_(_TEXT, _TEXT)
-_LINK = pa.struct({"href": _TEXT, "marked": pa.bool_(), "own": _TEXT, "near": _TEXT, "h4": _TEXT})
 _MAPS = ("after_h1", "labels", "cards", "blocks")
 _PAGE = pa.struct(
     {
@@ -80,31 +82,46 @@ _PAGE = pa.struct(
         "cards": _TEXTS,
         "described": _TEXT,
         "blocks": _TEXTS,
-        "links": pa.list_(_LINK),
         "_error": _TEXT,
     }
 )
+_LINK = pa.struct({"href": _TEXT, "marked": pa.bool_(), "own": _TEXT, "near": _TEXT, "h4": _TEXT})
+_LINKS = pa.struct({"links": pa.list_(_LINK), "_error": _TEXT})
 
 
-def parse(html: Column, labels: Sequence[str] = ()) -> Column:
-    """Page parts of an HTML column. A page that cannot be read has `_error` set and no parts.
+def _per_page(read: Callable[[str], dict], arrow: pa.DataType, spark_type: str) -> Callable[[Column], Column]:
+    """A vectorised function that reads each page and reports what it cannot read in `_error`.
 
     Declared nondeterministic only so that a filter on a part does not make it run twice.
     """
-    known = [*ALL_LABELS, *labels]
-    selectors = frozenset([*LOCATION_BLOCKS, *DESCRIPTION_BLOCKS, CARD_DESCRIPTION])
 
-    def parts(text):
+    def parts(html):
         try:
-            page = read_page(text, known, CARD_VALUES, selectors, LINK_MARKER)
-            return {**page, **{m: list(page[m].items()) for m in _MAPS}}
+            return read(html)
         except Exception as e:  # one broken page must not end the job
             return {"_error": f"{type(e).__name__}: {e}"}
 
     def pages(batch: pa.Array) -> pa.Array:
-        return pa.array((parts(h.as_py()) for h in batch), type=_PAGE)
+        return pa.array((parts(h.as_py()) for h in batch), type=arrow)
+
+    return F.arrow_udf(pages, returnType=spark_type).asNondeterministic()
+
+
+def parse(html: Column, labels: Sequence[str] = ()) -> Column:
+    """The parts of a page that make up an ad; `labels` names labels beyond the known ones."""
+    known = [*ALL_LABELS, *labels]
+    selectors = frozenset([*LOCATION_BLOCKS, *DESCRIPTION_BLOCKS, CARD_DESCRIPTION])
+
+    def read(text):
+        page = read_fields(text, known, CARD_VALUES, selectors)
+        return {**page, **{m: list(page[m].items()) for m in _MAPS}}
+
+    return _per_page(read, _PAGE, PAGE_TYPE)(html)
+
 
-    return F.arrow_udf(pages, returnType=PAGE_TYPE).asNondeterministic()(html)
+def parse_links(html: Column) -> Column:
+    """The links of a page with their headings, in document order."""
+    return _per_page(lambda text: {"links": read_links(text, LINK_MARKER)}, _LINKS, LINKS_TYPE)(html)
 
 
 def _at(texts: Column, key: str) -> Column:
@@ -162,7 +179,7 @@ def extract_ads(
     title. A page of an error has a title and is kept, as `clean_errors` deals with those.
     """
     page = F.col("_page")
-    parsed = pages.select(*keep, "url", parse(F.col("html")).alias("_page"))
+    parsed = spread(pages.select(*keep, "url", "html")).select(*keep, "url", parse(F.col("html")).alias("_page"))
     fields = _list_fields(page) if layout == "list" else _card_fields(page)
     ads = parsed.select(
         *keep,
@@ -184,14 +201,14 @@ def extract_ads(
 
 def extract_labels(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """The labels of each page with their values, one row per label that has one."""
-    parsed = pages.select(key, parse(F.col(html)).alias("_page"))
+    parsed = spread(pages.select(key, html)).select(key, parse(F.col(html)).alias("_page"))
     return parsed.select(key, F.explode("_page.labels").alias("label", "value"))
 
 
 def label_fallback(pages: DataFrame, key: str, fields: Mapping[str, Sequence[str]], html: str = "html") -> DataFrame:
     """One column per field with the first filled value of its labels."""
     extra = [n for names in fields.values() for n in names if n not in ALL_LABELS]
-    parsed = pages.select(key, parse(F.col(html), extra).alias("_page"))
+    parsed = spread(pages.select(key, html)).select(key, parse(F.col(html), extra).alias("_page"))
     return parsed.select(key, *[any_label(F.col("_page.labels"), names).alias(f) for f, names in fields.items()])
 
 
@@ -224,7 +241,7 @@ def listing_links(
     The title is a heading in the anchor; marked anchors may take it from the element around them.
     """
     marked = primary or (lambda a: a["marked"])
-    parsed = pages.select(*keep, parse(F.col("html")).alias("_page"))
+    parsed = spread(pages.select(*keep, "html")).select(*keep, parse_links(F.col("html")).alias("_page"))
     chosen = with_fallback(F.col("_page.links"), marked, lambda a: F.startswith(a["href"], F.lit(prefix)))
     link = F.col("link")
     return parsed.select(*keep, F.posexplode(chosen).alias("ord", "link")).select(
@@ -237,7 +254,7 @@ def listing_links(
 
 def card_links(pages: DataFrame, host: str, keep: Sequence[str] = ("page_id",), token: str = LINK_TOKEN) -> DataFrame:
     """Links whose target contains `token`, query kept; the title is null without a heading."""
-    parsed = pages.select(*keep, parse(F.col("html")).alias("_page"))
+    parsed = spread(pages.select(*keep, "html")).select(*keep, parse_links(F.col("html")).alias("_page"))
     chosen = F.filter(F.col("_page.links"), lambda a: F.contains(a["href"], F.lit(token)))
     return parsed.select(*keep, F.posexplode(chosen).alias("ord", "link"), F.col("_page._error")).select(
         *keep,
@@ -263,11 +280,10 @@ def sample_ads(listing: DataFrame, details: DataFrame, host: str, n: int = 5, to
 def register(spark: SparkSession) -> None:
     """Make `ad_links(html)` a table function of SQL: `SELECT ... FROM pages, LATERAL ad_links(html)`."""
 
-    @F.udtf(returnType="ord int, href string, title string")
+    @F.udtf(returnType="ord int, href string, title string", useArrow=True)
     class AdLinks:
         def eval(self, html: str):
-            links = read_page(html, frozenset(), {}, frozenset(), LINK_MARKER)["links"]
-            for i, link in enumerate(links):
+            for i, link in enumerate(read_links(html, LINK_MARKER)):
                 yield i, link["href"], link["own"] or link["near"] or ""
 
     spark.udtf.register("ad_links", AdLinks)

@@ -209,12 +209,16 @@ def _labelled(elements, labels, beside):
     return found
 
 
-def read_page(html, labels, cards, selectors, marker):
-    """The parts of one page; see `PAGE_TYPE` in `pages.py` for their shape."""
+def _elements(html):
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
-    elements = list(tree.root.elements())
+    return list(tree.root.elements())
+
+
+def read_fields(html, labels, cards, selectors):
+    """The parts of one page that make up an ad; see `PAGE_TYPE` in `pages.py` for their shape."""
+    elements = _elements(html)
     headings = [e for e in elements if e.tag == "h1"]
     after_h1 = {}
     for h in headings:
@@ -230,5 +234,9 @@ def read_page(html, labels, cards, selectors, marker):
         "cards": carded,
         "described": _flat(block.siblings_after()[0]) if block else None,
         "blocks": _picked(elements, selectors),
-        "links": [_link(a, marker) for a in elements if a.tag == "a" and a.attrs.get("href")],
     }
+
+
+def read_links(html, marker):
+    """The anchors of one page with the headings in and around them."""
+    return [_link(a, marker) for a in _elements(html) if a.tag == "a" and a.attrs.get("href")]
