@@ -42,7 +42,7 @@ def _without_dots(path: Column) -> Column:
         .otherwise(F.concat(done, F.array(s))),
     )
     closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.coalesce(F.nullif(F.array_join(closed, "/"), F.lit("")), F.lit("/"))
+    return F.regexp_replace(F.array_join(closed, "/"), "^(?!/)", "/")
 
 
 def canonical_url(href: Column, host: str) -> Column:
