@@ -1,0 +1,137 @@
+"""Pages into fields, labels and links."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from adloom.sources import pages as pg
+from adloom.sources.pagetree import read_fields, read_links
+
+HOST = "https://ads.example.com"
+NOW = "2024-05-01 08:00:00"
+
+
+def page_table(spark, *htmls):
+    rows = [(i, f"{HOST}/x/{i}.html", h) for i, h in enumerate(htmls)]
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def label(html, name):
+    return read_fields(html, [*pg.ALL_LABELS, name], {}, frozenset())["labels"].get(name, "")
+
+
+@pytest.mark.parametrize(
+    "html, name, value",
+    [
+        ("<dl><dt>Salary<dd>£1<dt>Hours<dd>2</dl>", "Salary", "£1"),
+        ("<dt>Salary</dt><p>x</p><dd>£2</dd>", "Salary", "£2"),
+        ("<dl><dt>Contract Type</dt><dd>Perm</dd></dl>", "Contract", "Perm"),
+        ("<dl><dt>Contract Type</dt><dd></dd><dt>Contract</dt><dd>Temp</dd></dl>", "Contract", "Temp"),
+        ("<dl><dt>Pay</dt><dd> </dd><dt>Pay rate</dt><dd>£3</dd></dl>", "Pay", ""),
+        ("<dl><dt>pay</dt><dd>£4</dd></dl>", "Pay", ""),
+        ("<div><b> Employer\n</b><i>A &amp; <b>B</b></i></div>", "Employer", "A & B"),
+        ("<div><span>Area</span></div><p>next</p>", "Area", "next"),
+        ("<p>Area</p>text", "Area", ""),
+        ("<dl><dt>Hours</dt><dd>Full<br>time\n or  part</dd></dl>", "Hours", "Full time or part"),
+    ],
+)
+def test_label_lookup(html, name, value):
+    assert label(html, name) == value
+
+
+def test_location_order(spark):
+    table = page_table(
+        spark,
+        "<h1>t</h1><p>by p</p><h1>u</h1><h4>by h4</h4>",
+        "<h1>t</h1><h3> </h3><div class='a location b'>in class</div>",
+        "<h1>t</h1><b itemprop=addressLocality>prop</b><dl><dt>Area<dd>lab</dl>",
+        "<h1>t</h1><dl><dt>Location<dd></dd><dt>Area<dd>area</dl>",
+        "<h1>t</h1>",
+    )
+    ads = pg.extract_ads(table, keep=["page_id"]).orderBy("page_id").collect()
+    assert [r["location"] for r in ads] == ["by h4", "in class", "prop", "area", ""]
+
+
+def test_description_order(spark):
+    table = page_table(
+        spark,
+        "<h1>t</h1><div class=description>no</div><h3>Description</h3><div>Yes <p>it\n is</p></div>",
+        "<h1>t</h1><div itemprop=description></div><div class=description>not reached</div>",
+        "<h1>t</h1><h3>Description</h3>",
+        "<h1>t</h1><p id=vip__description>by id<script>var x</script></p>",
+    )
+    ads = pg.extract_ads(table, keep=["page_id"]).orderBy("page_id").collect()
+    assert [r["description"] for r in ads] == ["Yes it is", "", "", "by id"]
+
+
+def test_salary_comes_from_label_then_description(spark):
+    text = "<h3>Description</h3><p>earn £9 per hour</p>"
+    table = page_table(
+        spark,
+        f"<h1>t</h1><dl><dt>Salary<dd>£8/hr</dl>{text}",
+        f"<h1>t</h1><dl><dt>Salary<dd>call 07123456789</dl>{text}",
+        f"<h1>t</h1><dl><dt>Wage<dd>£7</dl>{text}",
+        f"<h1>t</h1>{text}",
+    )
+    ads = pg.extract_ads(table, keep=["page_id"]).orderBy("page_id").collect()
+    assert [r["salary"] for r in ads] == ["£8/hr", "£9 per hour", "£7", "£9 per hour"]
+
+
+def test_whole_ads_in_both_layouts(spark):
+    table = page_table(
+        spark,
+        "<h1> Shop <b>help</b> </h1><p> Firm\n One </p><div><span>Wynagrodzenie</span><p class='css-bf1kxk'>20 zł</p></div>"
+        "<div><p>Typ umowy</p><b class=css-k31xxj>umowa</b></div><div class=css-1i3492>Opis\n<p>dwa</div>",
+        "<p>no title</p>",
+        "<h1>403 ERROR</h1>",
+    )
+    card = pg.extract_ads(table, "card", F.lit(NOW).cast("timestamp"), titled_only=False).orderBy("url").collect()
+    assert tuple(card[0]) == (
+        "0", f"{HOST}/x/0.html", "Shop help", "Firm One", "20 zł", "", "", "umowa", "2024-05-01 08:00:00", "Opis dwa", None,
+    )
+    assert [r["title"] for r in card] == ["Shop help", "", "403 ERROR"]
+    listed = pg.extract_ads(table, "list", F.lit(NOW).cast("timestamp")).orderBy("url").collect()
+    assert [(r["id"], r["title"]) for r in listed] == [("0.html", "Shop help"), ("2.html", "403 ERROR")]
+
+
+def test_broken_page_is_reported_and_kept(spark, monkeypatch):
+    broken = pg._per_page(lambda h: 1 / 0 if h == "bad" else {"links": []}, pg._LINKS, pg.LINKS_TYPE)
+    got = page_table(spark, "bad", "good").select(broken(F.col("html")).alias("p")).collect()
+    assert got[0]["p"]["_error"].startswith("ZeroDivisionError") and got[1]["p"]["_error"] is None
+
+
+def test_links_and_their_titles(spark):
+    marked = "data-q=search-result-anchor"
+    table = page_table(
+        spark,
+        f"<div><h4>around</h4><a {marked} href='/j/1?x=1'>go</a></div><a {marked} href='j/2'><h3> own </h3></a><a href='/p/3'>n</a>",
+        "<div><h3>around</h3><a href='/p/4?q'>x</a></div><a href=/p/5><i class=ad-title>five</i></a><a href=/z>z</a>",
+        "<a href=/z>z</a><a>no target</a>",
+    )
+    got = pg.listing_links(table, HOST).orderBy("page_id", "ord").collect()
+    assert [(r["page_id"], r["url"], r["title"]) for r in got] == [
+        (0, f"{HOST}/j/1", "around"), (0, f"{HOST}/j/2", "own"), (1, f"{HOST}/p/4", ""), (1, f"{HOST}/p/5", "five"),
+    ]
+    cards = page_table(spark, "<a href='/oferta/praca/1.html?r'><h4> A </h4></a><a href='/oferta/praca/2'><h3>B</h3></a><a href=/o>C</a>")
+    got = pg.card_links(cards, HOST).orderBy("ord").collect()
+    assert [(r["url"], r["title"]) for r in got] == [(f"{HOST}/oferta/praca/1.html?r", "A"), (f"{HOST}/oferta/praca/2", None)]
+
+
+def test_sample_ads(spark):
+    listing = page_table(spark, "".join(f'<a href="/oferta/praca/{i}">x</a>' for i in range(7)))
+    details = spark.createDataFrame([(f"{HOST}/oferta/praca/{i}", f"<h1>{i}</h1>") for i in range(9)], "url string, html string")
+    assert sorted(r["title"] for r in pg.sample_ads(listing, details, HOST).collect()) == list("01234")
+
+
+def test_table_function(spark):
+    pg.register(spark)
+    df = page_table(spark, "<a href='/1'><h3>A</h3></a><a href='/2'>B</a>")
+    got = spark.sql("SELECT page_id, l.* FROM {t}, LATERAL ad_links(html) l ORDER BY ord", t=df).collect()
+    assert [tuple(r) for r in got] == [(0, 0, "/1", "A"), (0, 1, "/2", "")]
+
+
+def test_unclosed_and_odd_markup():
+    page = read_fields("<h1>a<p>b<div>c</h1><td>d</i><!-- <h1>no</h1> --><script>'<h1>'</script>", [], {}, frozenset())
+    assert page["title"].startswith("a") and "no" not in page["title"]
+    assert read_links("<a href=/1>x<a href='/2'>y", pg.LINK_MARKER)[1]["href"] == "/2"
+    assert read_fields(None, [], {}, frozenset())["title"] is None
+    assert read_fields("<div>" * 5000 + "<h1>deep</h1>", pg.ALL_LABELS, pg.CARD_VALUES, frozenset())["title"] == "deep"
