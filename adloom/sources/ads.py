@@ -46,10 +46,10 @@ def read_csv(
     `positions` adds `pos`. `quarantine` adds `_bad` with the text of records that have too few
     or too many fields; they stay in the table, filled up or cut.
     """
+    columns = [*(["pos"] if positions else []), *ADS_COLUMNS, *([BAD_RECORD] if quarantine else [])]
     if isinstance(path, str) and not exists(spark, path):
-        empty = empty_ads(spark)
-        empty = empty.withColumn("pos", F.lit(None).cast("bigint")) if positions else empty
-        return empty.withColumn(BAD_RECORD, F.lit(None).cast("string")) if quarantine else empty
+        nothing = {"pos": F.lit(None).cast("bigint"), BAD_RECORD: F.lit(None).cast("string")}
+        return empty_ads(spark).withColumns(nothing).select(columns)
     df = (
         spark.read.schema(_with_bad(ADS_SCHEMA))
         .options(header=str(header).lower(), columnNameOfCorruptRecord=BAD_RECORD, **QUOTING)
@@ -57,9 +57,7 @@ def read_csv(
     )
     if positions:
         df = record_positions(df)
-    return df.na.fill("", ADS_COLUMNS).select(
-        *(["pos"] if positions else []), *ADS_COLUMNS, *([BAD_RECORD] if quarantine else [])
-    )
+    return df.na.fill("", ADS_COLUMNS).select(columns)
 
 
 def read_csv_columns(spark: SparkSession, path: str) -> DataFrame:
