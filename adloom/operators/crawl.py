@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.operators.running import SLAB_WIDTH, previous_value, running_totals
+from adloom.operators.running import SLAB_WIDTH, cut, previous_value, running_totals
 
 # Identifiers that make up a page fingerprint, and pages a crawl reads at most.
 FINGERPRINT_IDS = 10
@@ -28,11 +28,12 @@ def crawl_prefix(log: DataFrame, cap: int | None = PAGE_CAP, width: int = SLAB_W
     """The pages a crawl gets to: up to its first empty or stuck page, or the cap."""
     if cap is not None:
         log = log.filter(F.col("page_num") <= cap)
+    log = cut(log, ["crawl_id"], "page_num", width)
     stop = (F.col("n_links") == 0) | F.col("stuck")
     summed = running_totals(
         stuck_pages(log, width), ["crawl_id"], "page_num", {"_stops": F.when(stop, 1).otherwise(0)}, width=width
     )
-    return summed.filter("_stops = 0").drop("_stops", "stuck")
+    return summed.filter("_stops = 0").drop("_stops", "stuck", "_slab")
 
 
 def crawl_progress(log: DataFrame, n: str = "n_links", width: int = SLAB_WIDTH) -> DataFrame:

@@ -41,7 +41,7 @@ def _escaped(part: Column) -> Column:
     return F.replace(part, F.lit("|"), F.lit("\\|"))
 
 
-def _key(criterion: str, content: Sequence[str], exact_keys: bool) -> Column:
+def _key(criterion: str, exact_keys: bool) -> Column:
     """The key of one criterion; null where the record takes no part in it."""
     if criterion == ID:
         return F.nullif(_field("id"), F.lit(""))
@@ -53,11 +53,12 @@ def _key(criterion: str, content: Sequence[str], exact_keys: bool) -> Column:
             (_field("title") != "") & (_field("company") != ""), F.concat_ws("|", title, _field("company"))
         )
     # Long records are compared by digest; the shown part rides along behind it.
+    return F.concat(F.sha2("_record", 256), F.left("_record", F.lit(PREVIEW_CHARS)))
+
+
+def _record(content: Sequence[str], exact_keys: bool) -> Column:
     parts = [F.col(c).cast("string") for c in content]
-    if exact_keys:
-        parts = [_escaped(p) for p in parts]
-    record = concat_key(parts)
-    return F.concat(F.sha2(record, 256), F.left(record, F.lit(PREVIEW_CHARS)))
+    return concat_key([_escaped(p) for p in parts] if exact_keys else parts)
 
 
 def marks(
@@ -73,10 +74,13 @@ def marks(
     `content` lists the columns of the full-content key, by default all but the position.
     Composite keys are joined by `|`, so `a|b`+`c` equals `a`+`b|c`; `exact_keys` tells them apart.
     """
-    content = content or [c for c in ads.columns if c != pos]
     rows = without_errors(ads) if exclude_errors else ads
-    pairs = [F.struct(F.lit(c).alias("type"), _key(c, content, exact_keys).alias("key")) for c in criteria]
-    return rows.select(pos, F.inline(F.array(*pairs))).filter("key IS NOT NULL").select("type", "key", F.col(pos).alias("pos"))
+    if FULL_CONTENT in criteria:
+        content = content or [c for c in ads.columns if c != pos]
+        rows = rows.withColumn("_record", _record(content, exact_keys))
+    pairs = [F.struct(F.lit(c).alias("type"), _key(c, exact_keys).alias("key")) for c in criteria]
+    exploded = rows.select(F.col(pos).alias("pos"), F.inline(F.array(*pairs)))
+    return exploded.filter("key IS NOT NULL").select("type", "key", "pos")
 
 
 def key_counts(marked: DataFrame) -> DataFrame:

@@ -18,17 +18,23 @@ from pyspark.sql import functions as F
 SLAB_WIDTH = 1_000_000
 
 
-def _cut(df: DataFrame, by: Sequence[str], pos: str, width: int) -> DataFrame:
-    """Add the slab; the filter is the one a join on the keys adds, here for all uses alike."""
-    present = reduce(Column.__and__, [F.col(k).isNotNull() for k in [*by, "_slab"]])
-    return df.withColumn("_slab", slab_of(pos, width)).filter(present)
-
-
 def slab_of(pos: str, width: int) -> Column:
     """The first position of the slab a position lies in."""
     return F.col(pos) - F.pmod(F.col(pos), F.lit(width))
 
 
+def cut(df: DataFrame, by: Sequence[str], pos: str, width: int = SLAB_WIDTH) -> DataFrame:
+    """Add the slab of each row as `_slab`, unless it is there already.
+
+    Operators applied one after the other to a table that has been cut share its partitioning.
+    The filter is the one a join on the keys adds; here it is the same for all uses of the table.
+    """
+    if "_slab" in df.columns:
+        return df
+    present = reduce(Column.__and__, [F.col(k).isNotNull() for k in [*by, "_slab"]])
+    return df.withColumn("_slab", slab_of(pos, width)).filter(present)
+
+
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
@@ -44,21 +50,21 @@ def running_totals(
     `totals` maps names in `sums` to columns that get the sum over the whole group.
     """
     keys = [*by, "_slab"]
-    cut = _cut(df, by, pos, width)
+    rows = cut(df, by, pos, width)
     over_slabs = W.partitionBy(*by)
     before = over_slabs.orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
-    slabs = cut.groupBy(*keys).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in sums.items()])
+    slabs = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in sums.items()])
     slabs = slabs.select(
         *keys,
         *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in sums],
         *[F.sum(f"_sum_{k}").over(over_slabs).alias(name) for k, name in (totals or {}).items()],
     )
     inside = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = cut.join(slabs, keys)
+    out = rows.join(slabs, keys)
     out = out.select(
         "*", *[(F.col(f"_before_{k}") + F.sum(v).over(inside)).alias(k) for k, v in sums.items()]
     )
-    return out.drop("_slab", *[f"_before_{k}" for k in sums])
+    return out.select(*df.columns, *sums, *(totals or {}).values())
 
 
 def rank_in_order(
@@ -73,15 +79,9 @@ def previous_value(
 ) -> DataFrame:
     """Add the value of the preceding row of the group, null on its first row."""
     keys = [*by, "_slab"]
-    cut = _cut(df, by, pos, width)
-    last = cut.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), pos).alias("_last"))
+    rows = cut(df, by, pos, width)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(F.col(value).alias("v")), pos).alias("_last"))
     carried = last.select(*keys, F.lag("_last").over(W.partitionBy(*by).orderBy("_slab"))["v"].alias("_carried"))
     inside = W.partitionBy(*keys).orderBy(pos)
-    return (
-        cut.join(carried, keys)
-        .withColumn(
-            name,
-            F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag(value).over(inside)),
-        )
-        .drop("_slab", "_carried")
-    )
+    before = F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag(value).over(inside))
+    return rows.join(carried, keys).select(*df.columns, before.alias(name))

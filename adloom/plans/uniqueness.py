@@ -18,9 +18,14 @@ class Uniqueness:
     counts: DataFrame
     summary: DataFrame
     verdict: DataFrame
-    report: DataFrame
+    duplicates: DataFrame
     preview: DataFrame
 
+    @property
+    def report(self) -> DataFrame:
+        """The report in no particular order; it is put in order when it is written."""
+        return dup.report(self.duplicates)
+
 
 def analyze(ads: DataFrame, preview_limit: int = 10) -> Uniqueness:
     """Analyse ads with a `pos` column; error records take a position but are not compared."""
@@ -30,7 +35,7 @@ def analyze(ads: DataFrame, preview_limit: int = 10) -> Uniqueness:
         counts=quality_counts(ads),
         summary=summed,
         verdict=dup.verdict(summed),
-        report=dup.report(dup.in_report_order(dup.duplicates(marked))),
+        duplicates=dup.duplicates(marked),
         preview=dup.preview_first(dup.marks(ads, dup.DECISIVE), preview_limit),
     )
 
@@ -41,5 +46,6 @@ def write_report(analysis: Uniqueness, path: str) -> bool:
     overall = analysis.verdict.filter(f"type = '{dup.OVERALL}'").first()
     if overall["verdict"] == "OK":
         return False
-    analysis.report.write.mode("overwrite").options(**WRITING).csv(path)
+    ordered = dup.report(dup.in_report_order(analysis.duplicates))
+    ordered.write.mode("overwrite").options(**WRITING).csv(path)
     return True

@@ -70,7 +70,7 @@ def test_report_of_two_pairs(make_ads):
             for p in range(2, 457)
         ]
     )
-    got = [tuple(r) for r in analyze(ads).report.collect()]
+    got = [tuple(r) for r in dup.report(dup.in_report_order(analyze(ads).duplicates)).collect()]
     assert got == [
         ("ID", "shop", "221,242", 2),
         ("ID", "burger", "274,456", 2),
