@@ -16,14 +16,16 @@ _BLOCK = set(
 )
 # Start tags that end an open element of these kinds.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-           "th": {"td", "th"}, "option": {"option"}}
+           "th": {"td", "th"}, "option": {"option"}, "a": {"a"}}
+_CLOSES_WITHIN = {"ul", "ol", "dl", "table", "select"}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    __slots__ = ("tag", "attrs", "parent", "children", "index")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.index = len(parent.children) if parent else 0
 
     def elements(self):
         """All elements below, in document order."""
@@ -38,8 +40,10 @@ class Node:
                 stack.pop()
 
     def siblings_after(self):
-        peers = [c for c in self.parent.children if isinstance(c, Node)] if self.parent else []
-        return peers[peers.index(self) + 1 :] if self in peers else []
+        peers = self.parent.children if self.parent else []
+        for i in range(self.index + 1, len(peers)):
+            if isinstance(peers[i], Node):
+                yield peers[i]
 
     def classes(self):
         return (self.attrs.get("class") or "").split()
@@ -54,7 +58,7 @@ class _Tree(HTMLParser):
         if tag in _BLOCK:
             self._end("p", stop=_BLOCK - {"p"})
         for closed in _CLOSES.get(tag, ()):
-            self._end(closed, stop={"ul", "ol", "dl", "table", "select"})
+            self._end(closed, stop=_CLOSES_WITHIN)
         node = Node(tag, dict(attrs), self.open)
         self.open.children.append(node)
         if tag not in _VOID:
@@ -110,14 +114,19 @@ def plain_text(node):
     return " ".join("".join(_strings(node)).split())
 
 
-def _label_like(node, longest):
-    """Whether the text can be a label at all; stops reading as soon as it is too long."""
-    size = 0
-    for s in _strings(node):
-        size += len("".join(s.split()))
-        if size > longest:
-            return False
-    return True
+def _short_texts(elements, longest):
+    """Plain text of the elements that have at most `longest` characters besides whitespace.
+
+    Built from the innermost elements outwards, so that nesting costs nothing extra.
+    """
+    texts = {}
+    for e in reversed(elements):
+        parts = [c if isinstance(c, str) else texts.get(c) for c in e.children]
+        if None not in parts:
+            words = f"|{''.join(parts)}|".split()
+            if sum(map(len, words)) - 2 <= longest:
+                texts[e] = " ".join(words)[1:-1]
+    return {e: text.strip() for e, text in texts.items()}
 
 
 def _strings(node):
@@ -141,15 +150,6 @@ def _heading(node, tags):
     return None
 
 
-def _link(a, marker):
-    h4 = next((e for e in a.elements() if e.tag == "h4"), None)
-    marked = a.attrs.get(marker[0]) == marker[1]
-    own = _heading(a, ("h3", "h4"))
-    near = _heading(a.parent, ("h3", "h4")) if marked and not own and a.parent else None
-    h4 = shown_text(h4) if h4 else None
-    return {"href": a.attrs["href"], "marked": marked, "own": own, "near": near, "h4": h4}
-
-
 def _picked(elements, selectors):
     """Text of the first element per `#id`, `.class` or `attribute=value` that has one."""
     found = {}
@@ -161,11 +161,6 @@ def _picked(elements, selectors):
     return {s: shown_text(e) for s, e in found.items()}
 
 
-def _wraps(node, text):
-    """Whether an element inside has the same text, which then is the label proper."""
-    return any(isinstance(c, Node) and plain_text(c) == text for c in node.children)
-
-
 def _flat(node):
     return " ".join(shown_text(node).split())
 
@@ -173,14 +168,16 @@ def _flat(node):
 def _beside(elements, labels, cards):
     """Values next to labels: of any element's next sibling, and of the card around the label."""
     beside, carded, named = {}, {}, set()
-    longest = max(map(len, [*labels, *cards]), default=0)
+    texts = _short_texts(elements, max(map(len, [*labels, *cards]), default=0))
     for e in elements:
-        text = plain_text(e) if _label_like(e, longest) else None
+        text = texts.get(e)
         if text in labels and text not in beside:
-            after = e.siblings_after()
-            if after:
-                beside[text] = _flat(after[0])
-        if text in cards and text not in named and not _wraps(e, text):
+            after = next(e.siblings_after(), None)
+            if after is not None:
+                beside[text] = _flat(after)
+        # An element inside with the same text is the label proper.
+        inner = any(isinstance(c, Node) and texts.get(c) == text for c in e.children)
+        if text in cards and text not in named and not inner:
             named.add(text)
             value = next((c for c in e.parent.elements() if cards[text] in c.classes()), None)
             if value is not None:
@@ -221,22 +218,35 @@ def read_fields(html, labels, cards, selectors):
     elements = _elements(html)
     headings = [e for e in elements if e.tag == "h1"]
     after_h1 = {}
-    for h in headings:
-        for e in h.siblings_after()[:1]:
-            after_h1.setdefault(e.tag, shown_text(e))
+    for e in (next(h.siblings_after(), None) for h in headings):
+        if e is not None and e.tag not in after_h1:
+            after_h1[e.tag] = shown_text(e)
     beside, carded = _beside(elements, labels, cards)
-    described = (e for e in elements if e.tag == "h3" and plain_text(e) == "Description" and e.siblings_after())
-    block = next(described, None)
+    titles = (e for e in elements if e.tag == "h3" and plain_text(e) == "Description")
+    block = next((b for b in (next(t.siblings_after(), None) for t in titles) if b is not None), None)
     return {
         "title": shown_text(headings[0]) if headings else None,
         "after_h1": after_h1,
         "labels": _labelled(elements, labels, beside),
         "cards": carded,
-        "described": _flat(block.siblings_after()[0]) if block else None,
+        "described": _flat(block) if block is not None else None,
         "blocks": _picked(elements, selectors),
     }
 
 
 def read_links(html, marker):
     """The anchors of one page with the headings in and around them."""
-    return [_link(a, marker) for a in _elements(html) if a.tag == "a" and a.attrs.get("href")]
+    around = {}
+    links = []
+    for a in _elements(html):
+        if a.tag != "a" or not a.attrs.get("href"):
+            continue
+        marked = a.attrs.get(marker[0]) == marker[1]
+        own, near = _heading(a, ("h3", "h4")), None
+        if marked and not own:
+            if a.parent not in around:
+                around[a.parent] = _heading(a.parent, ("h3", "h4"))
+            near = around[a.parent]
+        h4 = next((shown_text(e) for e in a.elements() if e.tag == "h4"), None)
+        links.append({"href": a.attrs["href"], "marked": marked, "own": own, "near": near, "h4": h4})
+    return links

@@ -133,5 +133,6 @@ def test_unclosed_and_odd_markup():
     page = read_fields("<h1>a<p>b<div>c</h1><td>d</i><!-- <h1>no</h1> --><script>'<h1>'</script>", [], {}, frozenset())
     assert page["title"].startswith("a") and "no" not in page["title"]
     assert read_links("<a href=/1>x<a href='/2'>y", pg.LINK_MARKER)[1]["href"] == "/2"
+    assert [a["own"] for a in read_links("<a href=/1><h3>A</h3><a href='/2'><h3>B</h3>", pg.LINK_MARKER)] == ["A", "B"]
     assert read_fields(None, [], {}, frozenset())["title"] is None
-    assert read_fields("<div>" * 5000 + "<h1>deep</h1>", pg.ALL_LABELS, pg.CARD_VALUES, frozenset())["title"] == "deep"
+    assert read_fields("<div>" * 50000 + "<h1>deep</h1>", pg.ALL_LABELS, pg.CARD_VALUES, frozenset())["title"] == "deep"
