@@ -262,6 +262,13 @@ def ad_pages(spark: SparkSession, folder: str, template: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", url.alias("url"), _filled(template).alias("html"))
 
 
+def linked_card_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages behind the first link of each card listing, and as many that no listing has."""
+    number = F.when(F.col("p_size") <= 25, F.col("p_partkey")).otherwise(-F.col("p_partkey") - 1)
+    url = F.concat(F.lit(HOST + "/oferta/praca/"), number, F.lit(".html?r=1"))
+    return table(spark, folder, "part").select(url.alias("url"), _filled(CARD_PAGE).alias("html"))
+
+
 # -- titles with and without a category term ------------------------------------------------------
 
 SUFFIXES = ["Shop Assistant", "night courier", "cleaners", "BAR STAFF wanted", "picker packer", "clerk", "Factory Operative"]

@@ -43,6 +43,9 @@ QUERIES = {
     "extract_ads_card": lambda s, f: pg.extract_ads(
         b.ad_pages(s, f, b.CARD_PAGE), "card", now=_now(), titled_only=False
     ).drop("_error"),
+    "sample_ads": lambda s, f: pg.sample_ads(
+        b.card_listing_pages(s, f), b.linked_card_pages(s, f), b.HOST
+    ).select("id", "url", "title", "company"),
     "extract_ads_pages": lambda s, f: pg.extract_ads(_pages(s, f), keep=("page_id",)).select(
         "page_id", "id", "url", collapse(F.col("title")).alias("title")
     ),
@@ -101,6 +104,8 @@ ORACLE = {
     "extract_ads_card": f"""SELECT CAST(p_partkey AS VARCHAR) AS id, {_AD_URL} AS url, p_name AS title, p_brand AS company,
             p_size || ' zł' AS salary, '' AS location, 'pełny' AS work_time, p_type AS contract_type,
             '{b.RUN_TIME}' AS scraped_at, 'A ' || p_name || ' by ' || p_brand AS description FROM part""",
+    "sample_ads": f"""SELECT p_partkey || '?r=1' AS id, '{b.HOST}/oferta/praca/' || p_partkey || '.html?r=1' AS url,
+            p_name AS title, p_brand AS company FROM part WHERE p_size <= 25""",
     "extract_ads_pages": f"""SELECT page_id, split_part(rtrim(url, '/'), '/', -1) AS id, url, {_TITLE} AS title FROM pages
         WHERE {_TITLE} <> ''""",
 }

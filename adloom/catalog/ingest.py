@@ -8,7 +8,7 @@ from adloom.catalog import bindings as b
 from adloom.operators import batches, crawl
 from adloom.operators import incremental as inc
 from adloom.operators import shape
-from adloom.plans.ingest import ingest_by_id, ingest_by_title
+from adloom.plans.ingest import ingest_by_id, ingest_by_title, run_summary
 from adloom.session import materialize, staging_path
 from adloom.sources.ads import append_parquet
 
@@ -47,6 +47,11 @@ def _pages(s, f):
     return crawl.crawl_prefix(b.crawl_log(s, f))
 
 
+def _summary(s, f):
+    links = materialize(b.links(s, f), "links")
+    return run_summary(links, b.stored(s, f), _by_id(links, s, f))
+
+
 def _new_sizes(s, f):
     return _candidates(s, f).groupBy("crawl_id", "page_num").agg(F.count("*").alias("n"))
 
@@ -63,7 +68,7 @@ QUERIES = {
     "page_stats": lambda s, f: inc.page_stats(
         b.links(s, f), _stored_ids(s, f), "id", ("crawl_id", "page_num")
     ),
-    "crawl_summary": lambda s, f: inc.crawl_summary(b.stored(s, f), b.links(s, f), _by_id(b.links(s, f), s, f)),
+    "crawl_summary": _summary,
     "incremental_by_id": lambda s, f: ingest_by_id(
         materialize(b.links(s, f).withColumn("id", F.concat("id", F.lit(".html"))), "links"), b.stored(s, f), b.target(s, f)
     ).select("pos", "id", "title"),

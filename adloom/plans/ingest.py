@@ -8,13 +8,17 @@ than once (one row per page, one narrow row per new link) is written to the shar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.operators import incremental as inc
 from adloom.operators.crawl import FINGERPRINT_IDS, PAGE_CAP, crawl_prefix, fingerprint
+from adloom.operators.validity import stored_count, without_errors
+from adloom.schema import DEFAULT_TARGET
 from adloom.session import materialize
+from adloom.sources.ads import read_csv
+from adloom.sources.files import exists
 from adloom.sources.pages import extract_ads
 
 PAGE = ["crawl_id", "page_num"]
@@ -45,6 +49,11 @@ def reached(links: DataFrame, cap: int | None = None, detect_loops: bool = True)
     return links.filter("id IS NOT NULL").join(crawl_prefix(log, cap).select(*PAGE), PAGE, "left_semi")
 
 
+def target_of(spark: SparkSession, path: str) -> int | Column:
+    """As many ads as another table has stored, or the default if there is no such table."""
+    return stored_count(read_csv(spark, path)).scalar() if exists(spark, path) else DEFAULT_TARGET
+
+
 def ingest_by_id(
     links: DataFrame, stored: DataFrame, target: int | Column, cap: int | None = None
 ) -> DataFrame:
@@ -69,8 +78,18 @@ def ingest_by_title(
     return new.join(kept.select(*PAGE), PAGE, "left_semi")
 
 
-def load(new: DataFrame, pages: DataFrame, layout: str = "list", now: Column | None = None) -> DataFrame:
-    """Ads of the accepted links out of the fetched pages; only those pages are parsed."""
-    return extract_ads(
-        pages.join(new.select("url"), "url", "left_semi"), layout, now, titled_only=layout == "list"
-    )
+def run_summary(links: DataFrame, stored: DataFrame, new: DataFrame, cap: int | None = None) -> DataFrame:
+    """Totals of a run; links on pages that no crawl gets to are not counted as found."""
+    return inc.crawl_summary(stored, reached(links, cap), new)
+
+
+def load(
+    new: DataFrame, pages: DataFrame, layout: str = "list", now: Column | None = None, drop_errors: bool = False
+) -> DataFrame:
+    """Ads of the accepted links out of the fetched pages; only those pages are parsed.
+
+    Error pages have a title and are stored like others unless `drop_errors` is set.
+    """
+    wanted = pages.join(new.select("url"), "url", "left_semi")
+    ads = extract_ads(wanted, layout, now, titled_only=layout == "list")
+    return without_errors(ads) if drop_errors else ads

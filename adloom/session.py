@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -26,6 +27,11 @@ def session(app: str = "adloom", master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="adloom-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from `spark.checkpoint.dir`.
 
@@ -34,11 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="adloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_dir()
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -44,7 +44,8 @@ def read_csv(
     """Scan an ad CSV; missing fields and missing files give empty text and an empty table.
 
     `positions` adds `pos`. `quarantine` adds `_bad` with the text of records that have too few
-    or too many fields; they stay in the table, filled up or cut.
+    or too many fields; they stay in the table, filled up or cut. The header must name the ad
+    columns in their order; `read_csv_columns` with `align` takes any other.
     """
     columns = [*(["pos"] if positions else []), *ADS_COLUMNS, *([BAD_RECORD] if quarantine else [])]
     if isinstance(path, str) and not exists(spark, path):
@@ -52,7 +53,7 @@ def read_csv(
         return empty_ads(spark).withColumns(nothing).select(columns)
     df = (
         spark.read.schema(_with_bad(ADS_SCHEMA))
-        .options(header=str(header).lower(), columnNameOfCorruptRecord=BAD_RECORD, **QUOTING)
+        .options(header=str(header).lower(), enforceSchema="false", columnNameOfCorruptRecord=BAD_RECORD, **QUOTING)
         .csv(path)
     )
     if positions:

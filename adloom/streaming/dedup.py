@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from adloom.operators.incremental import accepted
+from adloom.operators.incremental import first_seen
 from adloom.sources.ads import append_parquet
 from adloom.sources.files import exists
 
@@ -33,14 +33,21 @@ def append_unseen(
 ) -> StreamingQuery:
     """Append the first ad of each key that the table does not have yet, batch by batch.
 
-    The stored table is the state. A batch that is run again after a failure finds its ads stored
-    and adds none twice.
+    The stored table is the state; only its key column is read, and only keys that the batch has
+    leave the scan. A batch that is run again after a failure finds its ads stored and adds none
+    twice.
     """
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        stored = spark.read.parquet(table).select(key) if exists(spark, table) else batch.select(key).limit(0)
-        append_parquet(accepted(batch, stored, key, pos), table)
+        fresh = first_seen(batch, key, pos)
+        if not exists(spark, table):
+            append_parquet(fresh, table)
+            return
+        fresh = fresh.persist()
+        known = spark.read.parquet(table).select(key).join(fresh.select(key), key, "left_semi").distinct()
+        append_parquet(fresh.join(known, key, "left_anti").select(*batch.columns), table)
+        fresh.unpersist()
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from adloom.operators import batches, crawl, running
 from adloom.operators import incremental as inc
 from adloom.operators.shape import align, sample_head, stamp_rows, union_sources
-from adloom.plans.ingest import ingest_by_id, ingest_by_title, load, page_log
+from adloom.plans.ingest import ingest_by_id, ingest_by_title, load, page_log, run_summary
 from adloom.schema import ADS_COLUMNS, DEFAULT_TARGET
 
 ERR = "403 ERROR"
@@ -169,6 +169,8 @@ def test_page_log_and_ingest_by_id(spark, make_ads):
     got = ingest_by_id(links, stored, 99).orderBy("pos").collect()
     assert [r["id"] for r in got] == [f"a{i}" for i in range(12)] + ["b2", "b3"] + [f"c{i}" for i in range(10)] + ["d"]
     assert len(ingest_by_id(links, stored, 5).collect()) == 4
+    new = inc.accepted(links, inc.stored_ids(stored), "id")
+    assert tuple(run_summary(links, stored, new).first()) == (28, 1, new.count(), 1 + new.count())
     assert ingest_by_id(links, stored, 1).count() == 0
 
 
@@ -192,6 +194,8 @@ def test_load_parses_accepted_pages_only(spark):
     new = spark.createDataFrame([("https://h.example/1",), ("https://h.example/3",)], "url string")
     assert [(r["id"], r["title"]) for r in load(new, pages).collect()] == [("1", "one")]
     assert load(new, pages, "card").count() == 2
+    failed = spark.createDataFrame([("https://h.example/1", "<h1> 403 ERROR </h1>")], "url string, html string")
+    assert load(new, failed).count() == 1 and load(new, failed, drop_errors=True).count() == 0
 
 
 def test_batches(spark):

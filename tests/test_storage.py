@@ -8,7 +8,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from adloom.operators.shape import align
 from adloom.plans.cleanup import check_duplicates, clean_errors
+from adloom.plans.ingest import target_of
 from adloom.schema import ADS_COLUMNS
 from adloom.session import session, shared_dir
 from adloom.sources import ads as src
@@ -82,6 +84,20 @@ def test_missing_files_are_empty_tables(spark, tmp_path):
     assert clean_errors(spark, nowhere) is None
 
 
+def test_a_header_in_another_order_is_refused(spark, tmp_path):
+    path = tmp_path / "other.csv"
+    path.write_text("url,id," + ",".join(ADS_COLUMNS[2:]) + "\n" + line("1") + "\n")
+    with pytest.raises(Exception, match="CSV header"):
+        src.read_csv(spark, str(path)).collect()
+    row = align(src.read_csv_columns(spark, str(path))).first()
+    assert (row["id"], row["url"]) == ("u", "1")
+
+
+def test_target_of_another_table(spark, raw, tmp_path):
+    assert target_of(spark, str(tmp_path / "none.csv")) == 1321
+    assert spark.range(1).select(target_of(spark, raw)).first()[0] == 6
+
+
 def test_files_with_and_without_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("\n".join([HEADER, line("1"), line("2")]))
     (tmp_path / "b.csv").write_text("\n".join([line("3"), line("4")]))
