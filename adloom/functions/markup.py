@@ -9,7 +9,7 @@ from adloom.functions.text import collapse
 
 H1 = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 TAG = r"(?s)<[^>]*>"
-HREF = r"""(?is)<a\b[^>]*?\shref="([^"]+)\""""
+HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 # Character references, the ampersand last. Text may leave out the semicolon of all but the
 # second group.
@@ -33,5 +33,11 @@ def title_of(html: Column) -> Column:
 
 
 def hrefs_of(html: Column) -> Column:
-    """Targets of all anchors in document order."""
-    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: unescape(h, strict=True))
+    """Targets of all anchors that have one, in document order."""
+
+    def bare(value: Column) -> Column:
+        quoted = value.rlike("^[\"']")
+        inner = F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+        return unescape(inner, strict=True)
+
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), bare), lambda h: h != "")

@@ -142,8 +142,8 @@ def test_categories_in_rule_order(spark):
 def test_raw_html(spark):
     pages = ["<h1 class=x> A <b>b</b>\n &amp;c &pound5</h1><h1>z</h1>", "<p>none</p>", "<H1>up</H1>"]
     assert evaluate(spark, title_of, pages) == ["A b &c £5", "", "up"]
-    got = evaluate(spark, hrefs_of, ['<a id="q" href="/a?x=1&amp;y=2">1</a><area href="/no"><A HREF="/b">', "<p>"])
-    assert got == [["/a?x=1&y=2", "/b"], []]
+    anchors = """<a id="q" href="/a?x=1&amp;y=2">1</a><area href="/no"><A HREF = '/b"c'><a href=/d>4<a href="">5"""
+    assert evaluate(spark, hrefs_of, [anchors, "<p>"]) == [["/a?x=1&y=2", '/b"c', "/d"], []]
 
 
 @pytest.mark.parametrize("seconds, shown", [(0, "0.0s"), (90.04, "90.0s")])
