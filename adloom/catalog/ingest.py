@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adloom.catalog import bindings as b
+from adloom.functions.urls import id_from_html_url
 from adloom.operators import batches, crawl
 from adloom.operators import incremental as inc
 from adloom.operators import shape
@@ -14,7 +15,7 @@ from adloom.sources.ads import append_parquet
 
 
 def _stored_ids(s, f):
-    return inc.stored_ids(b.stored(s, f)).withColumn("id", F.replace("id", F.lit(".html"), F.lit("")))
+    return inc.stored_ids(b.stored(s, f), id_from_html_url)
 
 
 def _by_id(links, s, f):
@@ -70,7 +71,7 @@ QUERIES = {
     ),
     "crawl_summary": _summary,
     "incremental_by_id": lambda s, f: ingest_by_id(
-        materialize(b.links(s, f).withColumn("id", F.concat("id", F.lit(".html"))), "links"), b.stored(s, f), b.target(s, f)
+        materialize(b.links(s, f), "links"), b.stored(s, f), b.target(s, f), ident=id_from_html_url
     ).select("pos", "id", "title"),
     "incremental_by_title": lambda s, f: ingest_by_title(
         materialize(b.links(s, f), "links"), b.stored(s, f), target=20
@@ -142,7 +143,7 @@ ORACLE = {
             WHERE s.page_num IS NULL OR l.page_num < s.page_num),
         new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS turn FROM reached)
             WHERE turn = 1 AND title <> '' AND id NOT IN (SELECT id FROM stored_ids))
-        SELECT pos, id || '.html' AS id, title FROM (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM new)
+        SELECT pos, id, title FROM (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM new)
         WHERE k <= (SELECT n FROM budget)""",
     "incremental_by_title": f"""{_WITH}, near AS (SELECT * FROM links WHERE page_num <= 25),
         named AS (SELECT *, {b.TITLE_KEY} AS title_key FROM near),

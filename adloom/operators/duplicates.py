@@ -123,9 +123,8 @@ def duplicates(marked: DataFrame, positions_per_row: int = POSITIONS_PER_ROW) ->
 
 def shown_value() -> Column:
     """What the report shows for a key; a full record always ends in an ellipsis."""
-    return F.when(F.col("type") == FULL_CONTENT, headline(F.substring("key", 65, PREVIEW_CHARS), PREVIEW_CHARS)).otherwise(
-        F.col("key")
-    )
+    digested = F.substring("key", 65, PREVIEW_CHARS)
+    return F.when(F.col("type") == FULL_CONTENT, headline(digested, PREVIEW_CHARS)).otherwise(F.col("key"))
 
 
 def _rank_of_type() -> Column:
@@ -179,9 +178,8 @@ OVERALL = "Overall"
 
 def verdict(summed: DataFrame) -> DataFrame:
     """OK or WARNING per criterion and overall; full content does not count overall."""
-    overall = summed.agg(
-        F.lit(OVERALL).alias("type"), F.sum(F.when(F.col("type").isin(DECISIVE), F.col("excess")).otherwise(0)).alias("excess")
-    )
+    decisive = F.when(F.col("type").isin(DECISIVE), F.col("excess")).otherwise(0)
+    overall = summed.agg(F.lit(OVERALL).alias("type"), F.sum(decisive).alias("excess"))
     return summed.select("type", "excess").unionByName(overall).withColumn(
         "verdict", F.when(F.col("excess") > 0, "WARNING").otherwise("OK")
     )

@@ -7,7 +7,7 @@ is wanted back, so a hot key is spread like any other rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,10 +19,10 @@ from adloom.operators.running import SLAB_WIDTH, running_totals, slab_of
 from adloom.operators.validity import is_stored
 
 
-def stored_ids(ads: DataFrame) -> DataFrame:
-    """Distinct identifiers, read off the URLs; records without URL have none."""
+def stored_ids(ads: DataFrame, ident: Callable[[Column], Column] = id_from_url) -> DataFrame:
+    """Distinct identifiers, read off the URLs by `ident`; records without URL have none."""
     url = strip(F.coalesce(F.col("url"), F.lit("")))
-    return ads.filter(url != "").select(id_from_url(url).alias("id")).distinct()
+    return ads.filter(url != "").select(ident(url).alias("id")).distinct()
 
 
 def stored_titles(ads: DataFrame) -> DataFrame:
@@ -88,7 +88,9 @@ def skipped_preview(passed_over: DataFrame, page: str = "page", shown: int = 3,
     )
 
 
-def page_stats(links: DataFrame, stored: DataFrame, key: str, page: Sequence[str] = ("page",), pos: str = "pos") -> DataFrame:
+def page_stats(
+    links: DataFrame, stored: DataFrame, key: str, page: Sequence[str] = ("page",), pos: str = "pos"
+) -> DataFrame:
     """Found, new and skipped links per page."""
     page = list(page)
     found = links.groupBy(*page).agg(F.count("*").alias("found"))

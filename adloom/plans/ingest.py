@@ -8,10 +8,13 @@ than once (one row per page, one narrow row per new link) is written to the shar
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from adloom.functions.urls import id_from_url
 from adloom.operators import incremental as inc
 from adloom.operators.crawl import FINGERPRINT_IDS, PAGE_CAP, crawl_prefix, fingerprint
 from adloom.operators.validity import stored_count, without_errors
@@ -55,11 +58,15 @@ def target_of(spark: SparkSession, path: str) -> int | Column:
 
 
 def ingest_by_id(
-    links: DataFrame, stored: DataFrame, target: int | Column, cap: int | None = None
+    links: DataFrame,
+    stored: DataFrame,
+    target: int | Column,
+    cap: int | None = None,
+    ident: Callable[[Column], Column] = id_from_url,
 ) -> DataFrame:
     """New links by identifier, with a title, until the target is reached together with the
-    stored ads."""
-    new = inc.accepted(reached(links, cap), inc.stored_ids(stored), "id")
+    stored ads; `ident` reads the identifier off a stored URL."""
+    new = inc.accepted(reached(links, cap), inc.stored_ids(stored, ident), "id")
     new = materialize(new.filter("title != ''"), "new-links")
     return inc.budget_cut(new, inc.remaining(target, stored))
 
