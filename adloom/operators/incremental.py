@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions.text import headline, normalized, strip
 from adloom.functions.urls import id_from_url
+from adloom.operators.matching import HOT_ROWS, match_rows
 from adloom.operators.running import SLAB_WIDTH, running_totals, slab_of
 from adloom.operators.validity import is_stored
 
@@ -48,9 +49,9 @@ def with_title_key(links: DataFrame) -> DataFrame:
     ).filter("title_key IS NOT NULL")
 
 
-def not_stored(links: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+def not_stored(links: DataFrame, stored: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links whose key is not stored yet; repeats among them stay."""
-    return links.join(stored.select(key).distinct(), key, "left_anti")
+    return match_rows(links, stored.select(key).distinct(), [key], "left_anti", hot_rows)
 
 
 def first_seen(links: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -66,7 +67,7 @@ def first_seen(links: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 
 def accepted(links: DataFrame, stored: DataFrame, key: str, pos: str = "pos") -> DataFrame:
     """First link of each key that is not stored yet."""
-    return not_stored(first_seen(links, key, pos), stored, key)
+    return first_seen(links, key, pos).join(stored.select(key).distinct(), key, "left_anti")
 
 
 def skipped(links: DataFrame, stored: DataFrame, key: str, pos: str = "pos") -> DataFrame:

@@ -1,0 +1,28 @@
+"""Semi and anti joins that keep every repeat of a key, however often it occurs."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with more rows than this is matched apart from the others. There are at most
+# rows / HOT_ROWS such keys, which bounds what is broadcast.
+HOT_ROWS = 1_000_000
+
+
+def match_rows(
+    rows: DataFrame, keys: DataFrame, on: Sequence[str], how: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The rows with (`left_semi`) or without (`left_anti`) a partner in `keys`.
+
+    Adaptive execution splits a hot partition only where the shuffle feeds the join directly, which
+    it does not after an aggregation. So hot keys are matched as keys, and their rows are filtered
+    where they lie; the others are shuffled by key.
+    """
+    on = list(on)
+    hot = rows.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on)
+    hot_kept = hot.join(keys.select(*on), on, how)
+    others = rows.join(F.broadcast(hot), on, "left_anti").join(keys.select(*on), on, how)
+    return others.unionByName(rows.join(F.broadcast(hot_kept), on, "left_semi"))

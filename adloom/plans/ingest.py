@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from adloom.functions.urls import id_from_url
 from adloom.operators import incremental as inc
 from adloom.operators.crawl import FINGERPRINT_IDS, PAGE_CAP, crawl_prefix, fingerprint
+from adloom.operators.matching import match_rows
 from adloom.operators.validity import stored_count, without_errors
 from adloom.schema import DEFAULT_TARGET
 from adloom.session import materialize
@@ -49,7 +50,7 @@ def reached(links: DataFrame, cap: int | None = None, detect_loops: bool = True)
     if not detect_loops:
         log = log.withColumn("fp", F.lit(None).cast("string"))
     log = materialize(log, "page-log")
-    return links.filter("id IS NOT NULL").join(crawl_prefix(log, cap).select(*PAGE), PAGE, "left_semi")
+    return match_rows(links.filter("id IS NOT NULL"), crawl_prefix(log, cap), PAGE, "left_semi")
 
 
 def target_of(spark: SparkSession, path: str) -> int | Column:
@@ -82,7 +83,7 @@ def ingest_by_title(
     new = materialize(new, "new-links")
     sizes = new.groupBy(*PAGE).agg(F.count("*").alias("n"))
     kept = inc.budget_cut_pages(sizes, target, by=["crawl_id"], page="page_num")
-    return new.join(kept.select(*PAGE), PAGE, "left_semi")
+    return match_rows(new, kept, PAGE, "left_semi")
 
 
 def run_summary(links: DataFrame, stored: DataFrame, new: DataFrame, cap: int | None = None) -> DataFrame:

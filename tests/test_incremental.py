@@ -83,7 +83,8 @@ def test_new_skipped_and_first_seen_by_id(spark, make_ads):
     assert positions(inc.accepted(links, ids, "id")) == new
     skipped = inc.skipped(links, ids, "id")
     assert positions(skipped) == sorted({r[2] for r in data} - set(new))
-    assert positions(inc.not_stored(links, ids, "id")) == [r[2] for r in data if r[3] not in known]
+    for hot in (5, 1000):
+        assert positions(inc.not_stored(links, ids, "id", hot)) == [r[2] for r in data if r[3] not in known]
     assert positions(inc.first_seen(links, "id")) == scan(data, lambda r: r[3], ())
     stats = {r["page_num"]: (r["found"], r["new"], r["skipped"]) for r in inc.page_stats(links, ids, "id", ["page_num"]).collect()}
     for page in {r[1] for r in data}:

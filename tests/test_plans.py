@@ -9,6 +9,7 @@ from adloom.catalog import bindings as b
 from adloom.operators import duplicates as dup
 from adloom.operators import incremental as inc
 from adloom.operators import validity as v
+from adloom.operators.matching import match_rows
 from adloom.operators.running import running_totals
 from adloom.sources import pages as pg
 
@@ -110,3 +111,16 @@ def test_ten_times_the_rows_keep_the_plan(spark, name):
     def build(df):
         return dup.duplicates(dup.marks(df)) if name == "duplicates" else inc.accepted(df, inc.stored_ids(df), "id")
     assert shuffles(plan(build(ads))) == shuffles(plan(build(big)))
+
+
+def test_rows_of_a_hot_key_are_not_shuffled(spark):
+    """Only the other rows go through the join on the key; hot ones are filtered where they lie."""
+    rows = spark.range(0, 3000).select(
+        F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id")
+    )
+    for known, kept in [("hot", 1999), ("cold", 2999)]:
+        stored = spark.createDataFrame([(known,), ("1",), (known,)], "id string")
+        new = inc.not_stored(rows, stored, "id", hot_rows=100)
+        assert new.count() == kept
+        assert plan(new).count("BroadcastHashJoin") >= 2
+        assert match_rows(rows, stored, ["id"], "left_semi", hot_rows=100).count() == 3000 - kept
