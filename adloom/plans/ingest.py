@@ -50,7 +50,8 @@ def reached(links: DataFrame, cap: int | None = None, detect_loops: bool = True)
     if not detect_loops:
         log = log.withColumn("fp", F.lit(None).cast("string"))
     log = materialize(log, "page-log")
-    return match_rows(links.filter("id IS NOT NULL"), crawl_prefix(log, cap), PAGE, "left_semi")
+    prefix = materialize(crawl_prefix(log, cap).select(*PAGE), "prefix")
+    return match_rows(links.filter("id IS NOT NULL"), prefix, PAGE, "left_semi")
 
 
 def target_of(spark: SparkSession, path: str) -> int | Column:

@@ -89,6 +89,12 @@ _LINK = pa.struct({"href": _TEXT, "marked": pa.bool_(), "own": _TEXT, "near": _T
 _LINKS = pa.struct({"links": pa.list_(_LINK), "_error": _TEXT})
 
 
+def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Fetched pages kept as one HTML file each, with the file as URL."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
+    return files.select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"))
+
+
 def _per_page(read: Callable[[str], dict], arrow: pa.DataType, spark_type: str) -> Callable[[Column], Column]:
     """A vectorised function that reads each page and reports what it cannot read in `_error`.
 

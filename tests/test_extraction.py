@@ -122,6 +122,13 @@ def test_sample_ads(spark):
     assert sorted(r["title"] for r in pg.sample_ads(listing, details, HOST).collect()) == list("01234")
 
 
+def test_pages_from_files(spark, tmp_path):
+    (tmp_path / "12.html").write_text("<h1>Żabka</h1>", encoding="utf-8")
+    (tmp_path / "note.txt").write_text("no page")
+    got = pg.extract_ads(pg.read_raw_pages(spark, str(tmp_path)), "card").collect()
+    assert [(r["id"], r["title"]) for r in got] == [("12", "Żabka")]
+
+
 def test_table_function(spark):
     pg.register(spark)
     df = page_table(spark, "<a href='/1'><h3>A</h3></a><a href='/2'>B</a>")
