@@ -34,6 +34,8 @@ def shown(row):
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_equals_its_sql(spark, duck, name):
     df = contract.queries()[name](spark, FOLDER)
+    if name not in contract.oracle_sql():
+        pytest.skip("no SQL; tested against a brute-force version")
     result = duck.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in result.description]
     assert sorted(columns) == sorted(df.columns)
