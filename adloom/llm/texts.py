@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -45,3 +46,20 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
+
+
+def text_struct(column, schema: str, fields: Callable[[str | None], tuple]):
+    """A struct column worked out from one text at a time; `fields` gives the values in the order of `schema`."""
+    out = T._parse_datatype_string(schema)
+    arrow = pa.struct(list(to_arrow_schema(out)))
+
+    @F.arrow_udf(out)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = []
+        for start in range(0, len(texts), ROWS):
+            values = list(zip(*map(fields, texts.slice(start, ROWS).to_pylist()), strict=True))
+            arrays = [pa.array(v, f.type) for v, f in zip(values, arrow, strict=True)]
+            parts.append(pa.StructArray.from_arrays(arrays, fields=list(arrow)))
+        return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    return run(column)
