@@ -1,8 +1,8 @@
 """The named queries of this subpackage and the SQL of those that SQL can express."""
 
-from adloom.llm import packing, quality
+from adloom.llm import packing, quality, secrets
 
-_MODULES = [quality, packing]
+_MODULES = [quality, secrets, packing]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
