@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -16,7 +19,9 @@ from adloom.llm.texts import map_rows
 from adloom.session import materialize, spread
 
 #: Shards of every piece length in which pieces are numbered; a length may be that of most pieces.
-SHARDS = 256
+SHARDS = 64
+
+_WIDE = re.compile(r" (?=\s|$)")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -94,11 +99,12 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a memory of words of a bounded size.
 
     The vocabulary splits a text before a space that a visible character follows, whatever stands around, so the parts
-    between such spaces are encoded apart and most of them need not be encoded again. A part that ends in a full stop or
-    comma after letters is put together from the two.
+    between such spaces are encoded apart and most of them need not be encoded again. A part of letters only is one
+    unit of the vocabulary and goes to its merges at once; one that ends in a full stop or comma after letters is put
+    together from the two.
     """
 
-    KEPT = 300_000
+    KEPT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -106,41 +112,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.marks = {mark: self._encode([mark])[0] for mark in ".,"}
+        # The vocabulary's own letters for bytes: visible ones stay, all others follow from 256 on.
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(visible)]
+        self.letters = {b: 256 + k for k, b in enumerate(hidden)}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        import numpy as np
+        return [_packed(x.ids) for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
-        return [np.asarray(x.ids, "<u4").tobytes() for x in found]
+    def _merge(self, word: str) -> bytes:
+        letters = f" {word}".encode().decode("latin-1").translate(self.letters)
+        return _packed([x.id for x in self.tokenizer.model.tokenize(letters)])
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        """The text cut before each space that a visible character follows."""
-        out: list[str] = []
-        for k, part in enumerate(text.split(" ")):
-            if k and part and not part[0].isspace():
-                out.append(" " + part)
-            elif out:
-                out[-1] += " " * bool(k) + part
-            else:
-                out.append(" " * bool(k) + part)
+        """The text cut at each space that a visible character follows; the first part is marked by a space before it."""
+        out = text.split(" ")
+        if _WIDE.search(text):
+            runs, out = out, out[:1]
+            for part in runs[1:]:
+                if part and not part[0].isspace():
+                    out.append(part)
+                else:
+                    out[-1] += " " + part
+        out[0] = " " + out[0]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         known, cut = self.known, [self.parts(x) for x in texts]
         if len(known) > self.KEPT:
             known.clear()
-        new = {x for parts in cut for x in parts if x not in known}
-        ends = {x for x in new if x[-1:] in self.marks and x[1:-1].isalpha()}
-        plain = list((new - ends) | {x[:-1] for x in ends if x[:-1] not in known})
-        known.update(zip(plain, self._encode(plain), strict=True))
-        known.update((x, known[x[:-1]] + self.marks[x[-1]]) for x in ends)
+        other = []
+        for x in set().union(*cut).difference(known):
+            if x.isalpha():
+                known[x] = self._merge(x)
+            elif x[-1:] in self.marks and x[:-1].isalpha():
+                stem = known.get(x[:-1])
+                if stem is None:
+                    stem = known[x[:-1]] = self._merge(x[:-1])
+                known[x] = stem + self.marks[x[-1]]
+            else:
+                other.append(x)
+        whole = [x[1:] if x[0] == " " else " " + x for x in other]
+        known.update(zip(other, self._encode(whole), strict=True))
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
