@@ -1,8 +1,8 @@
 """The named queries of this subpackage and the SQL of those that SQL can express."""
 
-from adloom.llm import archives, chat, packing, quality, secrets
+from adloom.llm import archives, chat, html, packing, quality, secrets, simhash
 
-_MODULES = [quality, secrets, chat, archives, packing]
+_MODULES = [quality, simhash, secrets, chat, archives, packing, html]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
