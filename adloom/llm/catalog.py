@@ -1,8 +1,8 @@
 """The named queries of this subpackage and the SQL of those that SQL can express."""
 
-from adloom.llm import archives, chat, decontaminate, html, packing, quality, secrets, simhash
+from adloom.llm import archives, chat, decontaminate, html, packing, pii, quality, secrets, simhash, tokencount
 
-_MODULES = [quality, simhash, decontaminate, secrets, chat, archives, packing, html]
+_MODULES = [tokencount, quality, simhash, pii, decontaminate, secrets, chat, archives, packing, html]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
