@@ -194,6 +194,16 @@ def near_copies(docs: DataFrame, chain: int = CHAIN, block: int = BLOCK) -> Data
     return prints.join(named, "fp").select("doc_id", shown, "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents with the smallest doc_id of their component; all columns stay.
+
+    Rows that repeat doc_id and text are one. Rows without doc_id cannot be told apart from others and all stay.
+    """
+    kept = near_copies(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def near_copies_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
