@@ -151,6 +151,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "seed",
         F.col("d.id").alias("doc_id"),
         F.col("d.pos").alias("pos"),
+        F.col("d.words").alias("long"),
         F.col("d.around").alias("here"),
         F.col("i.id").alias("item_id"),
         F.col("i.pos").alias("at"),
@@ -162,13 +163,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in OVERLAPS.split(", ")]
         for part in slices:
             out = []
-            for seed, doc, pos, here, item, at, words, there in zip(*part.values(), strict=True):
+            for seed, doc, pos, long, here, item, at, words, there in zip(*part.values(), strict=True):
                 size = min(WINDOW, words)
                 least = LEAST if words >= WINDOW else words
                 equal = np.concatenate(([0], np.cumsum(np.equal(here, there))))
                 for back in range(size - len(SEEDS[seed]), -1, -1):
                     low = WINDOW - 1 - back
-                    if 0 <= at - back <= words - size and equal[low + size] - equal[low] >= least:
+                    whole = 0 <= at - back <= words - size and 0 <= pos - back <= long - size
+                    if whole and equal[low + size] - equal[low] >= least:
                         out.append((doc, item, pos - back, size))
             yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names}
 
@@ -235,7 +237,8 @@ WITH d AS (
     FROM diagonals JOIN i USING (item_id) JOIN d USING (r)
 ), hits AS (
     SELECT doc_id, item_id, s + shift AS pos, size FROM windows JOIN d USING (r)
-    WHERE s + shift >= 1 AND len(list_filter(range(0, size), lambda j: iw[s + j] = dw[s + shift + j])) >= need
+    WHERE s + shift >= 1 AND s + shift + size - 1 <= len(dw)
+        AND len(list_filter(range(0, size), lambda j: iw[s + j] = dw[s + shift + j])) >= need
 ), items AS (
     SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items
     FROM hits GROUP BY doc_id

@@ -1,0 +1,163 @@
+import re
+
+import numpy as np
+import xxhash
+from adloom.llm.components import components
+from adloom.llm.decontaminate import LEAST, SEEDS, SHORTEST, WINDOW, clean_documents, contamination, plain_words
+from adloom.llm.simhash import budgets, fingerprint, key_masks, links, near_copies, one_of_each, prefixes
+
+
+def slow_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def linked(nodes, near):
+    """The smallest node each one reaches."""
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a in nodes:
+        for b in nodes:
+            if a < b and near(a, b) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {n: find(n) for n in nodes}
+
+
+def test_fingerprints(texts):
+    for text in [*texts, "A B c D", "a b C d", "Ä ä", "a\x0bb c d e"]:
+        assert fingerprint(text) == slow_fingerprint(text)
+    assert fingerprint("A B c D") == fingerprint("a b C d") and fingerprint(None) == 0
+
+
+def test_keys_miss_no_pair():
+    rng, masks, chains, limits = np.random.default_rng(1), key_masks(), prefixes(), budgets()
+    for _ in range(3000):
+        x = sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False))
+        assert any(
+            not x & mask and all((x & c).bit_count() <= n for c, n in zip(chains[start], limits, strict=True))
+            for start, mask in masks
+        )
+
+
+def test_links_connect_dense_and_loose_sets(spark):
+    rng = np.random.default_rng(2)
+    flip = lambda x, n: x ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))
+    some = [int(x) for x in rng.integers(0, 1 << 63, 60)]
+    some += [flip(some[0], int(rng.integers(0, 7))) for _ in range(150)]
+    some += [flip(x, int(rng.integers(3, 6))) for x in some[:60]]
+    signed = sorted({x - (1 << 64) if x >> 63 else x for x in some})
+    want = linked(signed, lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4)
+    prints = spark.createDataFrame([(x,) for x in signed], "fp long")
+    for chain, block in ((5, 20_000), (5, 20), (8, 20_000)):
+        found = {r.node: r.component for r in components(links(prints, chain, block)).collect()}
+        assert {x: found.get(x, x) for x in signed} == want
+
+
+def test_components_of_long_paths_stars_and_nothing(spark):
+    rows = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5), (None, 3), (7, None)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(rows, "x long, y long")).collect()}
+    assert got == {k: 0 for k in range(201)} | {1000 + k: 1000 for k in range(300)}
+    assert components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+def test_near_copies(make_docs, texts):
+    rows = [*enumerate(texts), (3, texts[3]), (None, texts[2]), (None, None)]
+    got = near_copies(make_docs(rows)).collect()
+    assert len(got) == len(rows)
+    made = {text: slow_fingerprint(text) for _, text in rows}
+    root = linked(sorted(set(made.values())), lambda a, b: (a ^ b).bit_count() <= 4)
+    first = {}
+    for doc, text in rows:
+        if doc is not None:
+            first[root[made[text]]] = min(doc, first.get(root[made[text]], doc))
+    want = sorted((doc or -1, f"{made[text]:016x}", first[root[made[text]]]) for doc, text in rows)
+    assert sorted((r.doc_id or -1, r.fingerprint, r.component_id) for r in got) == want
+
+
+def test_one_of_each(make_docs, texts):
+    docs = make_docs([*enumerate(texts), (3, texts[3]), (None, texts[2])])
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(x for x in ids if x is not None) == sorted({r.component_id for r in near_copies(docs).collect()})
+    assert ids.count(None) == 1
+    assert one_of_each(make_docs([])).collect() == []
+
+
+def passages(text, items):
+    """Items of which a window agrees with the text, and the words those windows cover, by trying all places."""
+    words, found, covered = plain_words(text), set(), set()
+    for item, said in items:
+        other = plain_words(said)
+        size = min(WINDOW, len(other))
+        need = LEAST if len(other) >= WINDOW else size
+        if len(other) < SHORTEST:
+            continue
+        for a in range(len(words) - size + 1):
+            for b in range(len(other) - size + 1):
+                if sum(x == y for x, y in zip(words[a : a + size], other[b : b + size], strict=True)) >= need:
+                    found.add(item)
+                    covered |= set(range(a, a + size))
+    return sorted(found), len(covered)
+
+
+ITEMS = [
+    (1, " ".join(f"word{k}" for k in range(40))),
+    (2, "Six words, not more than that."),
+    (3, "too short really"),
+    (4, " ".join(f"thing{k}" for k in range(13))),
+    (5, None),
+    (6, "  "),
+    (None, " ".join(f"nameless{k}" for k in range(20))),
+]
+
+
+def leaks():
+    base = [f"filler{k}" for k in range(30)]
+    out = [" ".join(base)]
+    for item in (0, 3):
+        words = ITEMS[item][1].split()
+        for changed in ([], [4], [2, 9], [1, 6, 11], [0, 12]):
+            part = [("X" if k in changed else w) for k, w in enumerate(words[:13])]
+            out.append(" ".join(base[:7] + part + base[7:]))
+            out.append(" ".join(part))
+    out += ["SIX WORDS not more (than) that", "six words not less than that", "too short really", ITEMS[6][1], None, ""]
+    return [*out, " ".join(ITEMS[0][1].split()[5:] * 30)]
+
+
+def test_contamination(spark, make_docs, texts):
+    benchmark = spark.createDataFrame(ITEMS + ITEMS[:1], "item_id long, text string").selectExpr("*", "1 as hash", "2 as id")
+    rows = [*leaks(), *[t for t in texts if t is None or len(t) < 2000]]
+    got = {r.doc_id: (r["items"], r.covered_words) for r in contamination(make_docs(rows), benchmark).collect()}
+    items = [(i, t) for i, t in ITEMS if i is not None]
+    for k, text in enumerate(rows):
+        found, covered = passages(text, items)
+        if text != ITEMS[6][1]:
+            assert got.get(k, ([], 0)) == (found, covered)
+    left = clean_documents(make_docs(rows), benchmark)
+    assert left.columns == make_docs([]).columns
+    assert {r.doc_id for r in left.collect()} == set(range(len(rows))) - set(got)
+
+
+def test_contamination_of_nothing(spark, make_docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    some = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    assert contamination(make_docs([]), some).collect() == []
+    assert contamination(make_docs([ITEMS[0][1]]), none).collect() == []
+    twice = make_docs([(None, ITEMS[0][1]), (1, ITEMS[0][1]), (1, "clean"), (2, "clean")])
+    assert [r.doc_id for r in clean_documents(twice, some).collect()] == [2]
+
+
+def test_seeds_are_lossless():
+    for a in range(WINDOW):
+        for b in range(WINDOW):
+            equal = [k not in (a, b) for k in range(WINDOW)]
+            fits = lambda seed, k: all(e or s == "0" for e, s in zip(equal[k:], seed, strict=False))
+            assert any(fits(seed, k) for seed in SEEDS[:-1] for k in range(WINDOW - len(seed) + 1))
