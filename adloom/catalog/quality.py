@@ -37,6 +37,13 @@ def _cleaned(spark, folder):
     return spark.read.parquet(path)
 
 
+def _backup(spark, folder):
+    """The table before cleaning, as the backup keeps it."""
+    path = staging_path(spark, "kept")
+    b.ads(spark, folder).drop("pos").write.parquet(path)
+    return spark.read.parquet(clean_errors(spark, path, "parquet").backup)
+
+
 QUERIES = {
     "duplicates_report": lambda s, f: analyze(b.ads(s, f)).report,
     "dup_id": _one(dup.ID),
@@ -55,6 +62,7 @@ QUERIES = {
     "valid_v1": lambda s, f: v.stored_ads(b.ads(s, f)).select("pos", "id", "title"),
     "valid_v2": lambda s, f: v.without_errors(b.ads(s, f)).select("pos", "id", "title"),
     "clean_errors": _cleaned,
+    "clean_backup": _backup,
 }
 
 _KEYS = f"""
@@ -108,7 +116,7 @@ _SECOND = """seconds AS (
 
 ORACLE = {
     "duplicates_report": f"""{_WITH} SELECT type AS "Type", {_VALUE} AS "Value", {_positions(',')} AS "Row_Positions",
-        n AS "Count" FROM dups""",
+        n AS "Count", 0 AS "Part" FROM dups""",
     **{f"dup_{k}": _one_sql(c) for k, c in zip(("id", "url", "title_company", "full_content"), dup.CRITERIA)},
     "dup_summary": f"{_WITH} {_summary_sql('marks', dup.CRITERIA)}",
     "dup_verdict": f"""{_WITH}, summed AS ({_summary_sql('marks', dup.CRITERIA)}),
@@ -123,7 +131,7 @@ ORACLE = {
         SELECT type, CAST(rank AS INT) AS rank,
             CASE type WHEN 'URL' THEN {_cut('key', 80)} WHEN 'Title+Company' THEN {_cut(_TITLE, 50)} ELSE key END AS shown,
             CASE type WHEN 'Title+Company' THEN {_cut(_COMPANY, 30)} ELSE '' END AS company,
-            {_positions(', ')} AS row_positions, n
+            {_positions(', ')} AS row_positions, 0 AS part, n
         FROM ranked WHERE rank <= 10""",
     "dup_preview_second": f"""{_WITH}, {_SECOND}, ranked AS (
             SELECT *, row_number() OVER (PARTITION BY type ORDER BY pos) AS rank, count(*) OVER (PARTITION BY type) AS total,
@@ -134,5 +142,6 @@ ORACLE = {
     "valid_count": f"WITH {b.ADS} SELECT count(*) AS n FROM ads WHERE {b.V1}",
     "valid_v1": f"WITH {b.ADS} SELECT pos, id, title FROM ads WHERE {b.V1}",
     "valid_v2": f"WITH {b.ADS} SELECT pos, id, title FROM ads WHERE {b.V2}",
+    "clean_backup": f"WITH {b.ADS} SELECT {b.ADS_LIST} FROM ads",
     "clean_errors": f"WITH {b.ADS} SELECT {b.ADS_LIST} FROM ads WHERE {b.V2}",
 }

@@ -40,6 +40,13 @@ def _roundtrip(s, f):
     return src.read_csv(s, second, quarantine=True).filter("_bad IS NULL").select(*ADS_COLUMNS)
 
 
+def _missing(s, f):
+    """What arrives where nothing is stored yet: a missing table reads as an empty one."""
+    nothing = src.read_csv(s, staging_path(s, "missing"))
+    fresh = b.ads(s, f).select("pos", "id").join(nothing.select("id"), "id", "left_anti")
+    return fresh.select("pos", "id")
+
+
 def _event_stream(s, f):
     events = b.table(s, f, "events")
     stream = src.stream_parquet(s, f"{f}/events.parquet", events.schema)
@@ -64,6 +71,7 @@ def _stream_incremental(s, f):
 QUERIES = {
     "scan_ads": _scan,
     "mixed_header_scan": _mixed,
+    "missing_input": _missing,
     "record_positions": _positions,
     "sink_roundtrip": _roundtrip,
     "stream_dedup": _stream_dedup,
@@ -76,6 +84,7 @@ _KEYS = "SELECT DISTINCT user_id || '-' || event_type AS id FROM events"
 ORACLE = {
     "scan_ads": _ALL,
     "mixed_header_scan": _ALL,
+    "missing_input": f"WITH {b.ADS} SELECT pos, id FROM ads",
     "record_positions": f"WITH {b.ADS} SELECT pos, id, title FROM ads",
     "sink_roundtrip": _ALL,
     "stream_dedup": _KEYS,

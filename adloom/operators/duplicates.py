@@ -27,8 +27,8 @@ DECISIVE = [ID, URL, TITLE_COMPANY]
 PREVIEW_CHARS = 100
 URL_CHARS, TITLE_CHARS, COMPANY_CHARS = 80, 50, 30
 
-# A key with more positions than this goes on over further rows of the report.
-POSITIONS_PER_ROW = 100_000
+# Positions after which a row of the report is full and a key goes on in its next part.
+POSITIONS_PER_PART = 100_000
 
 
 def _field(name: str) -> Column:
@@ -79,8 +79,10 @@ def marks(
         content = content or [c for c in ads.columns if c != pos]
         rows = rows.withColumn("_record", _record(content, exact_keys))
     pairs = [F.struct(F.lit(c).alias("type"), _key(c, exact_keys).alias("key")) for c in criteria]
-    exploded = rows.select(F.col(pos).alias("pos"), F.inline(F.array(*pairs)))
-    return exploded.filter("key IS NOT NULL").select("type", "key", "pos")
+    place = F.coalesce(F.col(pos), F.raise_error(F.lit("a record without position")).cast("bigint"))
+    exploded = rows.select(place.alias("pos"), F.inline(F.array(*pairs)))
+    # The position stands in the filter so that a missing one is told whatever is asked of the marks.
+    return exploded.filter("key IS NOT NULL AND pos IS NOT NULL").select("type", "key", "pos")
 
 
 def key_counts(marked: DataFrame) -> DataFrame:
@@ -88,31 +90,34 @@ def key_counts(marked: DataFrame) -> DataFrame:
     return marked.groupBy("type", "key").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
 
 
-def duplicates(marked: DataFrame, positions_per_row: int = POSITIONS_PER_ROW) -> DataFrame:
+def duplicates(marked: DataFrame, positions_per_part: int = POSITIONS_PER_PART) -> DataFrame:
     """Keys that occur more than once: type, key, n, first, part, positions (ascending).
 
-    A key has one row (part 0) unless it has more than `positions_per_row` positions; then it has
-    one row per slab of that many positions, numbered by the slab.
+    Positions are gathered in slabs. A slab belongs to part k of its key if k times `positions_per_part` positions,
+    rounded down, come before it. So a part holds less than twice as many positions, and a key with up to that many is
+    part 0 alone. `n` counts all positions of the key.
     """
     cells = (
-        marked.withColumn("slab", slab_of("pos", positions_per_row))
-        .filter("slab IS NOT NULL")
+        marked.withColumn("slab", slab_of("pos", positions_per_part))
         .groupBy("type", "key", "slab")
         .agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+        .filter("slab IS NOT NULL")
     )
-    # Sizes are taken from the arrays, and the filter on the slab is the one the join would add, so
-    # that both uses of `cells` are the same plan and share one scan and one shuffle.
-    repeated = (
-        cells.groupBy("type", "key")
-        .agg(
-            F.sum(F.size("positions")).alias("n"),
-            F.min(F.element_at("positions", 1)).alias("first"),
-            F.collect_list("slab").alias("slabs"),
+    # One narrow row per key and slab. The filter on the slab is the one the join would add, so that both uses of
+    # `cells` are the same plan and share one scan and one shuffle.
+    sizes = cells.select("type", "key", "slab", F.size("positions").alias("size"), F.col("positions")[0].alias("at"))
+    whole = W.partitionBy("type", "key")
+    before = whole.orderBy("slab").rowsBetween(W.unboundedPreceding, -1)
+    places = (
+        sizes.withColumns(
+            {
+                "n": F.sum("size").over(whole),
+                "first": F.min("at").over(whole),
+                "part": F.floor(F.coalesce(F.sum("size").over(before), F.lit(0)) / positions_per_part),
+            }
         )
         .filter("n > 1")
-    )
-    places = repeated.select("type", "key", "n", "first", F.explode("slabs").alias("slab")).withColumn(
-        "part", F.when(F.col("n") > positions_per_row, F.col("slab")).otherwise(F.lit(0))
+        .drop("size", "at")
     )
     return (
         cells.join(places, ["type", "key", "slab"])
@@ -132,12 +137,13 @@ def _rank_of_type() -> Column:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """The duplicates report: Type, Value, Row_Positions, Count."""
+    """The duplicates report: Type, Value, Row_Positions, Count (of these positions), Part (0 but for very hot keys)."""
     return found.select(
         F.col("type").alias("Type"),
         shown_value().alias("Value"),
         join_numbers(F.col("positions")).alias("Row_Positions"),
-        F.col("n").alias("Count"),
+        F.size("positions").cast("bigint").alias("Count"),
+        F.col("part").alias("Part"),
     )
 
 
@@ -185,26 +191,12 @@ def verdict(summed: DataFrame) -> DataFrame:
     )
 
 
-def preview_first(
-    marked: DataFrame, limit: int = 10, positions_per_row: int = POSITIONS_PER_ROW
-) -> DataFrame:
-    """The first duplicated keys of each decisive criterion by first occurrence, with positions."""
-    marked = marked.filter(F.col("type").isin(DECISIVE))
+def preview_first(found: DataFrame, limit: int = 10) -> DataFrame:
+    """The first keys of each decisive criterion among `duplicates` by first occurrence, with positions."""
     by_first = W.partitionBy("type").orderBy("first", "key")
-    top = (
-        key_counts(marked)
-        .filter("n > 1")
-        .withColumn("rank", F.row_number().over(by_first))
-        .filter(F.col("rank") <= limit)
-    )
-    # At most `limit` keys per criterion are sent to the records.
-    placed = marked.join(F.broadcast(top), ["type", "key"]).withColumn(
-        "part", F.when(F.col("n") > positions_per_row, slab_of("pos", positions_per_row)).otherwise(F.lit(0))
-    )
+    top = found.filter(F.col("type").isin(DECISIVE)).withColumn("rank", F.dense_rank().over(by_first))
     title_company = F.split("key", r"\|", 2)
-    return placed.groupBy("type", "rank", "key", "n", "part").agg(
-        F.sort_array(F.collect_list("pos")).alias("positions")
-    ).select(
+    return top.filter(F.col("rank") <= limit).select(
         "type",
         "rank",
         F.when(F.col("type") == URL, shorten(F.col("key"), URL_CHARS))
@@ -215,6 +207,7 @@ def preview_first(
         .otherwise(F.lit(""))
         .alias("company"),
         join_numbers(F.col("positions"), ", ").alias("row_positions"),
+        "part",
         "n",
     )
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import shutil
 import tempfile
+import weakref
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,22 +29,34 @@ def session(app: str = "adloom", master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+class _OwnDir:
+    """A folder that goes with the process."""
+
+    def __init__(self) -> None:
+        self.path = tempfile.mkdtemp(prefix="adloom-")
+        weakref.finalize(self, shutil.rmtree, self.path, ignore_errors=True)
+
+
 @functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="adloom-")
+def _own_dir() -> _OwnDir:
+    return _OwnDir()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from `spark.checkpoint.dir`.
 
-    Only a local master may go without the setting; it then gets a folder of its own.
+    Only a local master may go without the setting, or name a folder of the machine; without it, there is one that goes
+    with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    local = spark.sparkContext.master.startswith("local")
+    if not folder and local:
+        return _own_dir().path
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    scheme = (folder or "").partition(":/")[0] if ":/" in (folder or "") else default.partition(":")[0]
+    if not folder or (scheme == "file" and not local):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _own_dir()
+    return folder.rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -67,6 +67,25 @@ def read_csv_columns(spark: SparkSession, path: str) -> DataFrame:
     return df.na.fill("")
 
 
+def read_csv_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Scan a CSV like `read_csv_columns` for rewriting it: nothing may be lost.
+
+    Files whose header is another fail the scan, and so does, before it, a record with more fields than the header. Fields
+    that are missing are empty.
+    """
+    options = {"header": "true", "inferSchema": "false", **QUOTING}
+    schema = spark.read.options(**options).csv(path).schema
+    strict = {"enforceSchema": "false", "columnNameOfCorruptRecord": BAD_RECORD, "columnPruning": "false"}
+    df = spark.read.schema(_with_bad(schema)).options(**options, **strict).csv(path)
+    wider = ", ".join(f"_{k} string" for k in range(len(schema) + 1))
+    surplus = F.from_csv(BAD_RECORD, wider, QUOTING)[f"_{len(schema)}"].isNotNull()
+    # The text of a record is only there beside its fields, so those are counted as well.
+    n = df.agg(F.count_if(surplus), *[F.count(c) for c in schema.names]).first()[0]
+    if n:
+        raise ValueError(f"{n} records of {path} have more fields than their header")
+    return df.drop(BAD_RECORD).na.fill("")
+
+
 def read_mixed_headers(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Scan files of which some have a header line and some have none."""
     heading = F.array(*[F.col(c) for c in ADS_COLUMNS]) == F.array(*[F.lit(c) for c in ADS_COLUMNS])

@@ -44,5 +44,5 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).columns == ["Type", "Value", "Row_Positions", "Count"]
+    assert contract.entry(spark).columns == ["Type", "Value", "Row_Positions", "Count", "Part"]
     assert contract.entry(spark).count() > 0

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from adloom.operators import duplicates as dup
 from adloom.operators import validity as v
@@ -72,10 +73,10 @@ def test_report_of_two_pairs(make_ads):
     )
     got = [tuple(r) for r in dup.report(dup.in_report_order(analyze(ads).duplicates)).collect()]
     assert got == [
-        ("ID", "shop", "221,242", 2),
-        ("ID", "burger", "274,456", 2),
-        ("URL", "https://ads.example.com/shop.html", "221,242", 2),
-        ("URL", "https://ads.example.com/burger.html", "274,456", 2),
+        ("ID", "shop", "221,242", 2, 0),
+        ("ID", "burger", "274,456", 2, 0),
+        ("URL", "https://ads.example.com/shop.html", "221,242", 2, 0),
+        ("URL", "https://ads.example.com/burger.html", "274,456", 2, 0),
     ]
 
 
@@ -94,18 +95,20 @@ def test_duplicates_match_brute_force(make_ads):
     }
 
 
-def test_hot_key_goes_on_over_several_rows(make_ads):
+def test_hot_key_goes_on_over_several_parts(make_ads):
     ads = random_ads(make_ads)
     marked = dup.marks(ads)
     whole = {(r["type"], r["key"]): r["positions"] for r in dup.duplicates(marked).collect()}
+    found = dup.duplicates(marked, positions_per_part=32)
     parts = defaultdict(list)
-    for r in dup.duplicates(marked, positions_per_row=32).orderBy("part").collect():
-        assert len(r["positions"]) <= 32
-        assert r["n"] == len(whole[r["type"], r["key"]])
+    for r in found.orderBy("part").collect():
+        assert len(r["positions"]) < 64 and r["n"] == len(whole[r["type"], r["key"]])
+        assert r["part"] == 0 or r["n"] > 32
         parts[r["type"], r["key"]] += r["positions"]
     assert parts == whole
+    assert dup.report(found).agg(F.sum("Count")).first()[0] == sum(map(len, whole.values()))
     sizes = defaultdict(int)
-    for r in dup.preview_first(marked, limit=3, positions_per_row=32).collect():
+    for r in dup.preview_first(found, limit=3).collect():
         sizes[r["type"], r["rank"]] += len(r["row_positions"].split(", "))
         assert r["rank"] <= 3
     firsts = sorted((p[0], t, len(p)) for (t, _), p in whole.items() if t != dup.FULL_CONTENT)
@@ -114,6 +117,14 @@ def test_hot_key_goes_on_over_several_rows(make_ads):
         assert [sizes[t, i + 1] for i in range(len(lengths))] == lengths
 
 
+def test_records_without_position_are_refused(spark, make_ads):
+    ads = make_ads([{"id": "a"}, {"id": "a"}]).withColumn("pos", F.when(F.col("pos") > 2, F.col("pos")))
+    marked = dup.marks(ads, [dup.ID])
+    for df in (dup.summary(marked, [dup.ID]), dup.report(dup.duplicates(marked)), dup.key_counts(marked)):
+        with pytest.raises(Exception, match="without position"):
+            df.collect()
+
+
 def test_error_records_take_a_position_but_are_not_compared(make_ads):
     ads = make_ads([{"id": "a", "title": ERR}, {"id": "a", "title": "t"}, {"id": "a", "title": "u"}])
     found = dup.duplicates(dup.marks(ads, [dup.ID]))
@@ -126,7 +137,7 @@ def test_preview_orders_differ(make_ads):
     """a is first to appear, b first to appear again."""
     ads = make_ads([{"id": i, "url": f"u{n}"} for n, i in enumerate("abba")])
     marked = dup.marks(ads, [dup.ID])
-    assert [r["shown"] for r in dup.preview_first(marked).orderBy("rank").collect()] == ["a", "b"]
+    assert [r["shown"] for r in dup.preview_first(dup.duplicates(marked)).orderBy("rank").collect()] == ["a", "b"]
     assert [r["key"] for r in dup.preview_second(marked).orderBy("rank").collect()] == ["b", "a"]
 
 
@@ -141,7 +152,7 @@ def test_joined_keys_collide_unless_exact(make_ads):
     ads = make_ads([{"id": "1", "title": "a|b", "company": "c"}, {"id": "2", "title": "a", "company": "b|c"}])
     found = dup.duplicates(dup.marks(ads, [dup.TITLE_COMPANY]))
     assert rows(found, "key") == [("a|b|c",)]
-    shown = dup.preview_first(dup.marks(ads, [dup.TITLE_COMPANY])).first()
+    shown = dup.preview_first(dup.duplicates(dup.marks(ads, [dup.TITLE_COMPANY]))).first()
     assert (shown["shown"], shown["company"]) == ("a", "b|c")
     assert dup.duplicates(dup.marks(ads, [dup.TITLE_COMPANY], exact_keys=True)).count() == 0
     tricky = make_ads([{"title": "a\\", "company": "b|c"}, {"title": "a|b", "company": "c"}])
@@ -160,7 +171,7 @@ def test_full_content_counts_apart(make_ads, tmp_path):
     out = str(tmp_path / "report")
     assert write_report(analyze(ads), out)
     again = ads.sparkSession.read.csv(out, header=True)
-    assert [tuple(r) for r in again.collect()] == [("ID", "x", "2,3", "2")]
+    assert [tuple(r) for r in again.collect()] == [("ID", "x", "2,3", "2", "0")]
 
 
 def test_full_content_takes_all_columns(spark, make_ads):

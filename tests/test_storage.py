@@ -94,7 +94,7 @@ def test_a_header_in_another_order_is_refused(spark, tmp_path):
 
 
 def test_target_of_another_table(spark, raw, tmp_path):
-    assert target_of(spark, str(tmp_path / "none.csv")) == 1321
+    assert target_of(spark, str(tmp_path / "none.csv")) is None
     assert spark.range(1).select(target_of(spark, raw)).first()[0] == 6
 
 
@@ -123,11 +123,16 @@ def test_round_trip(spark, make_ads, tmp_path):
 
 
 def test_clean_keeps_a_backup_and_is_idempotent(spark, raw):
+    with pytest.raises(ValueError, match="1 records"):
+        clean_errors(spark, raw)
+    text = RAW.replace(",extra", "") + "\n"
+    with open(raw, "w", encoding="utf-8") as file:
+        file.write(text)
     before = src.read_csv(spark, raw).count()
     done = clean_errors(spark, raw, now=datetime(2024, 5, 1, 8, 0, 0))
     assert (done.total, done.removed, done.remaining) == (before, 1, before - 1)
     assert done.backup == f"{raw}.backup_20240501_080000"
-    assert open(done.backup, encoding="utf-8").read() == RAW + "\n"
+    assert open(done.backup, encoding="utf-8").read() == text
     assert sorted(r["id"] for r in src.read_csv(spark, raw).collect()) == ["1", "2", "3", "4", "5", "7"]
     again = clean_errors(spark, raw)
     assert (again.removed, again.backup) == (0, None)
@@ -142,6 +147,49 @@ def test_clean_without_backup_and_with_other_columns(spark, tmp_path):
     assert [tuple(r) for r in src.read_csv_columns(spark, str(path)).collect()] == [("a", "1")]
 
 
+def test_clean_refuses_what_it_would_lose(spark, tmp_path):
+    for name, texts in {
+        "long": ["id,url,title\n1,u,t,EXTRA,MORE\n2,u,403 ERROR\n"],
+        "mixed": ["id,company,title\n1,c,t\n", "id,title,company\n2,403 ERROR,c\n"],
+    }.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        for k, text in enumerate(texts):
+            (folder / f"{k}.csv").write_text(text)
+        with pytest.raises(Exception):
+            clean_errors(spark, str(folder))
+        assert sorted(os.listdir(tmp_path / name)) == [f"{k}.csv" for k in range(len(texts))]
+        assert [(folder / f"{k}.csv").read_text() for k in range(len(texts))] == texts
+
+
+def test_clean_puts_the_old_table_back(spark, tmp_path, monkeypatch):
+    from adloom.sources import files
+
+    path, rename = tmp_path / "x.csv", files.rename
+    path.write_text("title,more\na,1\n403 ERROR,2\n")
+
+    def failing(spark, source, target):
+        if "staging" in source:
+            raise OSError("no")
+        rename(spark, source, target)
+
+    monkeypatch.setattr(files, "rename", failing)
+    with pytest.raises(OSError):
+        clean_errors(spark, str(path))
+    assert path.read_text() == "title,more\na,1\n403 ERROR,2\n"
+
+
+def test_clean_keeps_an_earlier_backup_and_checks_duplicates(spark, make_ads, tmp_path):
+    path, now = str(tmp_path / "t"), datetime(2024, 5, 1, 8, 0, 0)
+    ads = make_ads([{"id": "a", "title": "403 ERROR"}, {"id": "a", "title": "x"}]).drop("pos")
+    ads.write.parquet(path)
+    assert clean_errors(spark, path, "parquet", now=now, check=True).excess == {"ID": 1, "URL": 0, "Title+Company": 0}
+    ads.write.mode("overwrite").parquet(path)
+    with pytest.raises(FileExistsError):
+        clean_errors(spark, path, "parquet", now=now)
+    assert spark.read.parquet(path).count() == 2
+
+
 def test_check_before_cleaning_counts_error_records(make_ads):
     ads = make_ads([{"id": "a", "title": "403 ERROR"}, {"id": "a", "title": "x"}, {"id": "b", "title": "y"}])
     summed, preview = check_duplicates(ads)
@@ -190,3 +238,27 @@ def test_first_seen_stream(spark, tmp_path, spread):
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert session().sparkContext is spark.sparkContext
+
+
+def test_local_folders_are_refused_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def hadoopConfiguration():
+                return {"fs.defaultFS": "file:///"}
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        sparkContext = Context
+
+        def __init__(self, folder):
+            self.conf = Conf({"spark.checkpoint.dir": folder} if folder else {})
+
+    for folder in (None, "file:///tmp/x", "/tmp/x"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(folder))
+    assert shared_dir(Session("hdfs://name/x/")) == "hdfs://name/x"
