@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def ads(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
-    ident = F.substring(F.md5("text"), 1, 12)
+    ident = F.md5("text")
     return d.select(
         (F.col("doc_id") + 2).alias("pos"),
         ident.alias("id"),
@@ -43,8 +43,8 @@ def ads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ADS = f"""ads AS (
-    SELECT doc_id + 2 AS pos, substr(md5(text), 1, 12) AS id,
-        '{HOST}/' || source || '/' || substr(md5(text), 1, 12) || '.html' AS url,
+    SELECT doc_id + 2 AS pos, md5(text) AS id,
+        '{HOST}/' || source || '/' || md5(text) || '.html' AS url,
         CASE WHEN doc_id % 51 = 0 THEN ' {ERROR_TITLE} ' WHEN doc_id % 17 = 0 THEN '{ERROR_TITLE}'
             ELSE split_part(text, chr(10), 1) END AS title,
         lang AS company, '' AS salary, source AS location, 'Full time' AS work_time,
@@ -72,20 +72,46 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     return ads(spark, folder).filter((F.col("pos") - 2) % 3 == 0)
 
 
+def all_links(spark: SparkSession, folder: str) -> DataFrame:
+    """All ads as links: one crawl per location, 200 positions to a listing page."""
+    return ads(spark, folder).select(
+        F.col("location").alias("crawl_id"),
+        F.floor((F.col("pos") - 2) / 200 + 1).alias("page_num"),
+        "pos",
+        "id",
+        "url",
+        "title",
+    )
+
+
 def links(spark: SparkSession, folder: str) -> DataFrame:
-    """The other ads as links: one crawl per location, 200 positions to a listing page."""
-    return (
-        ads(spark, folder)
-        .filter((F.col("pos") - 2) % 3 != 0)
-        .select(
-            F.col("location").alias("crawl_id"),
-            F.floor((F.col("pos") - 2) / 200 + 1).alias("page_num"),
-            "pos",
-            "id",
-            "url",
-            "title",
-        )
+    """The ads that are not stored yet as links."""
+    return all_links(spark, folder).filter((F.col("pos") - 2) % 3 != 0)
+
+
+# Crawls that end early: one whose fourth page repeats the third, one whose third page is empty.
+STUCK, EMPTY = "src3", "src5"
+COPIED = 1_000_000_000
+
+
+def crawled(spark: SparkSession, folder: str) -> DataFrame:
+    """The links as crawls with a stuck and an empty page and anchors without title."""
+    base = links(spark, folder)
+    stuck, empty = F.col("crawl_id") == STUCK, F.col("crawl_id") == EMPTY
+    own = base.filter(~(stuck & (F.col("page_num") == 4)) & ~(empty & (F.col("page_num") == 3)))
+    again = base.filter(stuck & (F.col("page_num") == 3)).withColumns(
+        {"page_num": F.lit(4).cast("bigint"), "pos": F.col("pos") + COPIED}
     )
+    nothing = base.filter(empty & (F.col("page_num") == 3)).groupBy("crawl_id", "page_num").agg(F.min("pos").alias("pos"))
+    nothing = nothing.withColumns({c: F.lit(None).cast("string") for c in ("id", "url", "title")})
+    every = own.unionByName(again).unionByName(nothing)
+    return every.withColumn("title", F.when(F.col("pos") % 5 == 0, F.when(F.col("id").isNotNull(), "")).otherwise(F.col("title")))
+
+
+def fetched(spark: SparkSession, folder: str) -> DataFrame:
+    """The ad behind each url that could be fetched, with the title on its own page."""
+    there = ads(spark, folder).filter(F.col("pos") % 11 != 0)
+    return there.groupBy("url").agg(F.min_by("title", "pos").alias("title"))
 
 
 def target(spark: SparkSession, folder: str) -> Column:
@@ -98,6 +124,25 @@ stored AS (SELECT * FROM ads WHERE (pos - 2) % 3 = 0),
 links AS (SELECT location AS crawl_id, (pos - 2) // 200 + 1 AS page_num, pos, id, url, title
     FROM ads WHERE (pos - 2) % 3 <> 0)"""
 
+CRAWLED = f"""own AS (
+    SELECT * FROM links WHERE NOT (crawl_id = '{STUCK}' AND page_num = 4) AND NOT (crawl_id = '{EMPTY}' AND page_num = 3)
+    UNION ALL SELECT crawl_id, 4, pos + {COPIED}, id, url, title FROM links WHERE crawl_id = '{STUCK}' AND page_num = 3
+    UNION ALL SELECT crawl_id, page_num, min(pos), NULL, NULL, NULL FROM links
+        WHERE crawl_id = '{EMPTY}' AND page_num = 3 GROUP BY ALL),
+crawled AS (SELECT * REPLACE (CASE WHEN id IS NOT NULL AND pos % 5 = 0 THEN '' ELSE title END AS title) FROM own),
+crawl_pages AS (SELECT crawl_id, page_num, count(id) AS n, list(id ORDER BY pos) AS fp FROM crawled GROUP BY 1, 2),
+crawl_marks AS (SELECT *, n > 0 AND coalesce(fp = lag(fp) OVER (PARTITION BY crawl_id ORDER BY page_num), false) AS stuck
+    FROM crawl_pages),
+fetched AS (SELECT url, arg_min(title, pos) AS title FROM ads WHERE pos % 11 <> 0 GROUP BY 1)"""
+
+
+def sql_reached(stops: str, name: str = "reached") -> str:
+    """The crawled links before the first page of their crawl that `stops`."""
+    return f"""{name}_stop AS (SELECT crawl_id, min(page_num) AS stop FROM crawl_marks WHERE {stops} GROUP BY 1),
+{name} AS (SELECT c.* FROM crawled c LEFT JOIN {name}_stop s ON s.crawl_id = c.crawl_id
+    WHERE id IS NOT NULL AND (stop IS NULL OR page_num < stop))"""
+
+
 # Identifiers as read off the stored URLs, and normalised titles of the stored ads.
 STORED_IDS = f"""stored_ids AS (SELECT DISTINCT split_part(url, '/', -1) AS id FROM stored)"""
 TITLE_KEY = f"lower({sql_strip('title')})"
@@ -127,7 +172,7 @@ CRAWL_LOG = f"""items AS (
     FROM events),
 log AS (
     SELECT crawl_id, page_num, count(*) FILTER (event_type <> 'error') AS n_links,
-        coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type <> 'error'), '') AS fp
+        md5(coalesce('["' || string_agg(event_type, '","' ORDER BY event_id) FILTER (event_type <> 'error') || '"]', '[]')) AS fp
     FROM items GROUP BY 1, 2)"""
 
 
@@ -269,6 +314,49 @@ def linked_card_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(url.alias("url"), _filled(CARD_PAGE).alias("html"))
 
 
+# -- a whole run over parts: listing pages of crawls, the pages behind their links, some stored ads --
+
+def part_listings(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing pages as crawls of five; every third page has no ads."""
+    pages = listing_pages(spark, folder)
+    number = F.col("page_id")
+    return pages.select(
+        "page_id", F.floor(number / 5).alias("crawl_id"), (F.pmod(number, F.lit(5)) + 1).alias("page_num"), "html"
+    )
+
+
+def part_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages behind links to parts; one in seven could not be fetched."""
+    path = F.when(F.col("p_partkey") % 3 == 0, "/job/").otherwise("/p/")
+    url = F.concat(F.lit(HOST), path, F.col("p_partkey"))
+    there = table(spark, folder, "part").filter(F.col("p_partkey") % 7 != 0)
+    return there.select(url.alias("url"), _filled(LIST_PAGE).alias("html"))
+
+
+def part_ads(spark: SparkSession, folder: str) -> DataFrame:
+    """Ads of every fourth part as stored ones."""
+    url = F.concat(F.lit(HOST + "/job/"), F.col("p_partkey"))
+    own = {"id": F.col("p_partkey").cast("string"), "url": url, "title": F.col("p_name")}
+    rows = table(spark, folder, "part").filter(F.col("p_partkey") % 4 == 0)
+    return rows.select(*[own.get(c, F.lit("")).alias(c) for c in ADS_COLUMNS])
+
+
+PART_RUN = f"""listed AS (
+    SELECT p_partkey, 0 AS ord, '{HOST}/job/' || p_partkey AS url, CAST(p_partkey AS VARCHAR) AS id FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 1, '{HOST}/more/' || p_partkey, CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 0
+    UNION ALL SELECT p_partkey, 0, '{HOST}/p/' || p_size, CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 3 = 1
+    UNION ALL SELECT p_partkey, 1, '{HOST}/p/' || p_partkey, CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 3 = 1),
+stops AS (SELECT p_partkey // 5 AS crawl_id, min(p_partkey) AS stop FROM part WHERE p_partkey % 3 = 2 GROUP BY 1),
+found AS (SELECT l.* FROM listed l LEFT JOIN stops ON crawl_id = p_partkey // 5 WHERE stop IS NULL OR p_partkey < stop),
+kept AS (SELECT CAST(p_partkey AS VARCHAR) AS id, '{HOST}/job/' || p_partkey AS url, p_name AS title FROM part
+    WHERE p_partkey % 4 = 0),
+new AS (SELECT id, url FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey, ord) AS turn FROM found)
+    WHERE turn = 1 AND id NOT IN (SELECT id FROM kept)),
+there AS (SELECT '{HOST}' || CASE WHEN p_partkey % 3 = 0 THEN '/job/' ELSE '/p/' END || p_partkey AS url, p_name AS title
+    FROM part WHERE p_partkey % 7 <> 0),
+added AS (SELECT id, url, title FROM new JOIN there USING (url))"""
+
+
 # -- titles with and without a category term ------------------------------------------------------
 
 SUFFIXES = ["Shop Assistant", "night courier", "cleaners", "BAR STAFF wanted", "picker packer", "clerk", "Factory Operative"]

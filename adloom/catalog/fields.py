@@ -8,12 +8,20 @@ from adloom.catalog import bindings as b
 from adloom.functions import salary, text, urls
 from adloom.functions.categories import CATEGORY_TERMS, category_filter
 from adloom.operators import shape
-from adloom.operators.frontier import listing_frontier
+from adloom.functions.markup import hrefs_of
+from adloom.operators.frontier import listing_choice, listing_frontier
 
 # Only what the common format needs to be told about pages as another source.
 PAGE_RENAMES = {"html": "description"}
 
 
+def _tried(s, f):
+    """Every candidate with the links found there; two in three of the fetches give the page, the others none."""
+    pages = b.table(s, f, "pages").select("page_id", "url", F.size(hrefs_of(F.col("html"))).alias("links"))
+    fails = (F.col("page_id") + F.col("page") + F.col("attempt")) % 3 == 0
+    return listing_frontier(pages, 3).withColumn("n_links", F.when(~fails, F.col("links")))
+
+
 def _of_url(function, name):
     return lambda s, f: b.table(s, f, "pages").select("page_id", function(F.col("url")).alias(name))
 
@@ -40,6 +48,7 @@ QUERIES = {
     "listing_frontier": lambda s, f: listing_frontier(b.table(s, f, "pages").select("page_id", "url"), 3).select(
         "page_id", "page", "attempt", "candidate"
     ),
+    "listing_choice": lambda s, f: listing_choice(_tried(s, f), ["page_id", "page"]),
     "salary_extract": lambda s, f: b.salary_texts(s, f).select(
         "p_partkey", salary.salary_or_extracted(F.lit(""), F.col("description")).alias("salary")
     ),
@@ -93,6 +102,12 @@ _CATEGORY = " ".join(
 
 _EMPTY = ", ".join(f"'' AS {c}" for c in ("title", "company", "salary", "location", "work_time", "contract_type", "scraped_at"))
 
+_FRONTIER = f"""urls AS (SELECT page_id, {_BASE} AS u FROM pages), {_PARTS},
+    numbered AS (SELECT *, unnest([1, 2, 3]) AS page FROM parts),
+    frontier AS (SELECT page_id, page, 0 AS attempt, CASE WHEN page = 1 THEN u
+        ELSE rtrim(path, '/') || '/page' || page || substr(u, length(path) + 1) END AS candidate FROM numbered
+        UNION ALL SELECT page_id, page, 1, {_with_page('page')} FROM numbered)"""
+
 ORACLE = {
     "title_norm": f"WITH {b.ADS} SELECT pos, {b.TITLE_KEY} AS title_norm FROM ads",
     "collapse_ws": f"WITH {b.ADS} SELECT pos, {b.sql_collapse('description')} AS description FROM ads",
@@ -105,11 +120,10 @@ ORACLE = {
         ELSE url END AS url FROM pages""",
     "set_query_param": f"""WITH urls AS (SELECT page_id, url AS u FROM pages), {_PARTS}
         SELECT page_id, {_with_page('page_id')} AS url FROM parts""",
-    "listing_frontier": f"""WITH urls AS (SELECT page_id, {_BASE} AS u FROM pages), {_PARTS},
-        numbered AS (SELECT *, unnest([1, 2, 3]) AS page FROM parts)
-        SELECT page_id, page, 0 AS attempt, CASE WHEN page = 1 THEN u
-            ELSE rtrim(path, '/') || '/page' || page || substr(u, length(path) + 1) END AS candidate FROM numbered
-        UNION ALL SELECT page_id, page, 1, {_with_page('page')} FROM numbered""",
+    "listing_frontier": f"WITH {_FRONTIER} SELECT * FROM frontier",
+    "listing_choice": f"""WITH {_FRONTIER} SELECT page_id, page, min(attempt) AS attempt, arg_min(candidate, attempt) AS candidate
+        FROM frontier JOIN pages USING (page_id)
+        WHERE (page_id + page + attempt) % 3 <> 0 AND regexp_matches(html, '(?i)<a[^>]*\\shref=') GROUP BY 1, 2""",
     "salary_extract": f"""WITH {b.SALARY_TEXTS} SELECT p_partkey,
         CASE {' '.join(_found(r, _spelled(r, g)) for r, g in _RULES)} ELSE '' END AS salary FROM texts""",
     "salary_clean": rf"""WITH {b.SQL_RAW_SALARIES}, cut AS (SELECT p_partkey, regexp_replace(regexp_replace(

@@ -9,7 +9,7 @@ from adloom.functions.urls import id_from_html_url
 from adloom.operators import batches, crawl
 from adloom.operators import incremental as inc
 from adloom.operators import shape
-from adloom.plans.ingest import ingest_by_id, ingest_by_title, run_summary
+from adloom.plans.ingest import ingest, ingest_by_id, ingest_by_title, run_summary
 from adloom.session import materialize, staging_path
 from adloom.sources.ads import append_parquet
 
@@ -37,7 +37,8 @@ def _appended(s, f):
 
 def _distinct(s, f):
     titles = inc.stored_titles(b.ads(s, f)).select(F.col("title_key").alias("key"))
-    return inc.distinct_keys(titles, _stored_ids(s, f).select(F.col("id").alias("key")))
+    ids = inc.stored_ids(b.ads(s, f), id_from_html_url)
+    return inc.distinct_keys(titles, ids.select(F.col("id").alias("key")))
 
 
 def _skipped(s, f):
@@ -48,9 +49,12 @@ def _pages(s, f):
     return crawl.crawl_prefix(b.crawl_log(s, f))
 
 
-def _summary(s, f):
-    links = materialize(b.links(s, f), "links")
-    return run_summary(links, b.stored(s, f), _by_id(links, s, f))
+def _crawled(s, f):
+    return materialize(b.crawled(s, f), "links")
+
+
+def _run(s, f):
+    return ingest(b.part_listings(s, f), b.part_pages(s, f), b.part_ads(s, f), b.HOST)
 
 
 def _new_sizes(s, f):
@@ -63,21 +67,21 @@ QUERIES = {
     "new_by_title": lambda s, f: inc.accepted(
         inc.with_title_key(b.links(s, f)), inc.stored_titles(b.stored(s, f)), "title_key"
     ).select("pos", "url", "title_key"),
-    "first_seen": lambda s, f: inc.first_seen(b.links(s, f), "id").select("id", "pos", "title"),
+    "first_seen": lambda s, f: inc.first_seen(b.all_links(s, f), "id").select("id", "pos", "title"),
     "skipped_dups": lambda s, f: _skipped(s, f).select("pos", "id"),
-    "skipped_preview": lambda s, f: inc.skipped_preview(_skipped(s, f), "page_num"),
+    "skipped_preview": lambda s, f: inc.skipped_preview(_skipped(s, f), ["crawl_id", "page_num"]),
     "page_stats": lambda s, f: inc.page_stats(
         b.links(s, f), _stored_ids(s, f), "id", ("crawl_id", "page_num")
     ),
-    "crawl_summary": _summary,
+    "crawl_summary": lambda s, f: run_summary(_crawled(s, f), b.stored(s, f), ident=id_from_html_url),
     "incremental_by_id": lambda s, f: ingest_by_id(
-        materialize(b.links(s, f), "links"), b.stored(s, f), b.target(s, f), ident=id_from_html_url
-    ).select("pos", "id", "title"),
-    "incremental_by_title": lambda s, f: ingest_by_title(
-        materialize(b.links(s, f), "links"), b.stored(s, f), target=20
-    ).select(
+        _crawled(s, f), b.fetched(s, f), b.stored(s, f), b.target(s, f), ident=id_from_html_url
+    ).select("pos", "url", "title"),
+    "incremental_by_title": lambda s, f: ingest_by_title(_crawled(s, f), b.stored(s, f), target=20).select(
         "pos", "url", "title"
     ),
+    "ingest_run": lambda s, f: _run(s, f)[0].select("id", "url", "title"),
+    "ingest_run_totals": lambda s, f: _run(s, f)[1],
     "incremental_append": _appended,
     "budget_cut": lambda s, f: inc.budget_cut(
         _candidates(s, f), inc.remaining(b.target(s, f), b.stored(s, f)), width=1000
@@ -110,49 +114,51 @@ named AS (SELECT *, {b.TITLE_KEY} AS title_key FROM links),
 unseen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY pos) AS turn FROM named)
     WHERE turn = 1 AND title_key NOT IN (SELECT title_key FROM stored_titles))"""
 
+_NEW = """new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS turn FROM reached)
+    WHERE turn = 1 AND id NOT IN (SELECT id FROM stored_ids))"""
+
 _PREFIX = f"""{b.CRAWL_LOG},
 marked AS (SELECT *, coalesce(fp = lag(fp) OVER (PARTITION BY crawl_id ORDER BY page_num), false) AS stuck FROM log),
-reached AS (SELECT * FROM marked m WHERE page_num <= 25 AND NOT EXISTS (
+reached AS (SELECT * FROM marked m WHERE NOT EXISTS (
     SELECT 1 FROM marked x WHERE x.crawl_id = m.crawl_id AND x.page_num <= m.page_num AND (x.n_links = 0 OR x.stuck)))"""
 
 # Round to one decimal on the exact value of the double, ties to even.
 _TENTH = "printf('%.1f', {})"
 
 ORACLE = {
-    "distinct_keys": f"""{_WITH} SELECT {b.TITLE_KEY} AS key FROM ads WHERE {b.V1} UNION SELECT id FROM stored_ids""",
+    "distinct_keys": f"""{_WITH} SELECT {b.TITLE_KEY} AS key FROM ads WHERE {b.V1} UNION SELECT id FROM ads""",
     "new_by_id": f"{_WITH} SELECT pos, id, title FROM links WHERE id NOT IN (SELECT id FROM stored_ids)",
     "new_by_title": f"{_WITH}, {_TITLES} SELECT pos, url, title_key FROM unseen",
-    "first_seen": f"{_WITH} SELECT id, pos, title FROM links QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1",
+    "first_seen": f"{_WITH} SELECT id, pos, title FROM ads QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos) = 1",
     "skipped_dups": f"{_WITH} SELECT pos, id FROM skipped",
-    "skipped_preview": f"""{_WITH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_num ORDER BY pos) AS rank,
-            count(*) OVER (PARTITION BY page_num) AS total FROM skipped)
-        SELECT page_num, CAST(rank AS INT) AS rank, pos, id,
+    "skipped_preview": f"""{_WITH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY crawl_id, page_num ORDER BY pos) AS rank,
+            count(*) OVER (PARTITION BY crawl_id, page_num) AS total FROM skipped)
+        SELECT crawl_id, page_num, CAST(rank AS INT) AS rank, pos, id,
             left(CASE WHEN title <> '' THEN title ELSE url END, 50) || '...' AS shown, greatest(total - 3, 0) AS more
         FROM ranked WHERE rank <= 3""",
     "page_stats": f"""{_WITH} SELECT l.crawl_id, l.page_num, count(*) AS found, count(a.pos) AS new,
             count(*) - count(a.pos) AS skipped
         FROM links l LEFT JOIN accepted a ON a.pos = l.pos GROUP BY 1, 2""",
-    "crawl_summary": f"""{_WITH}, c AS (SELECT (SELECT count(*) FROM links) AS found,
-            (SELECT count(*) FROM stored WHERE {b.V1}) AS before, (SELECT count(*) FROM accepted) AS new)
+    "crawl_summary": f"""{_WITH}, {b.CRAWLED}, {b.sql_reached("n = 0 OR stuck")}, {_NEW},
+        c AS (SELECT (SELECT count(*) FROM reached) AS found,
+            (SELECT count(*) FROM stored WHERE {b.V1}) AS before, (SELECT count(*) FROM new) AS new)
         SELECT found, before, new, before + new AS total_after FROM c""",
-    "incremental_by_id": f"""{_WITH}, pages AS (
-            SELECT crawl_id, page_num, list_slice(list(id ORDER BY pos), 1, 10) AS fp FROM links GROUP BY 1, 2),
-        marked AS (SELECT *, coalesce(fp = lag(fp) OVER (PARTITION BY crawl_id ORDER BY page_num), false) AS stuck FROM pages),
-        first_stuck AS (SELECT crawl_id, min(page_num) AS page_num FROM marked WHERE stuck GROUP BY 1),
-        reached AS (SELECT l.* FROM links l LEFT JOIN first_stuck s ON s.crawl_id = l.crawl_id
-            WHERE s.page_num IS NULL OR l.page_num < s.page_num),
-        new AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS turn FROM reached)
-            WHERE turn = 1 AND title <> '' AND id NOT IN (SELECT id FROM stored_ids))
-        SELECT pos, id, title FROM (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM new)
+    "incremental_by_id": f"""{_WITH}, {b.CRAWLED}, {b.sql_reached("n = 0 OR stuck")}, {_NEW}
+        SELECT pos, url, title FROM (SELECT n.pos, n.url, f.title, row_number() OVER (ORDER BY n.pos) AS k
+            FROM new n JOIN fetched f ON f.url = n.url WHERE f.title <> '')
         WHERE k <= (SELECT n FROM budget)""",
-    "incremental_by_title": f"""{_WITH}, near AS (SELECT * FROM links WHERE page_num <= 25),
-        named AS (SELECT *, {b.TITLE_KEY} AS title_key FROM near),
+    "incremental_by_title": f"""{_WITH}, {b.CRAWLED}, {b.sql_reached("n = 0")},
+        named AS (SELECT *, {b.TITLE_KEY} AS title_key FROM reached),
         unseen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY pos) AS turn FROM named)
             WHERE turn = 1 AND title_key NOT IN (SELECT title_key FROM stored_titles)),
         sizes AS (SELECT crawl_id, page_num, count(*) AS n FROM unseen GROUP BY 1, 2),
         kept AS (SELECT *, sum(n) OVER (PARTITION BY crawl_id ORDER BY page_num) - n AS before FROM sizes)
         SELECT u.pos, u.url, u.title FROM unseen u JOIN kept k ON k.crawl_id = u.crawl_id AND k.page_num = u.page_num
         WHERE k.before < 20""",
+    "ingest_run": f"WITH {b.PART_RUN} SELECT * FROM kept UNION ALL SELECT * FROM added",
+    "ingest_run_totals": f"""WITH {b.PART_RUN}, c AS (SELECT (SELECT count(*) FROM found) AS found,
+            (SELECT count(*) FROM kept) AS before, (SELECT count(*) FROM added) AS new)
+        SELECT found, before, new, before + new AS total_after FROM c""",
     "incremental_append": f"""{_WITH} SELECT {b.ADS_LIST} FROM stored UNION ALL
         SELECT {b.ADS_LIST} FROM ads WHERE pos IN (SELECT pos FROM accepted)""",
     "budget_cut": f"""{_WITH} SELECT pos, id FROM (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM accepted)

@@ -15,16 +15,22 @@ ASSUMED_PAUSE = 5
 MADE_PAUSE = 10
 
 
-def batch_assign(links: DataFrame, size: int = BATCH_SIZE, width: int = SLAB_WIDTH) -> DataFrame:
-    """Add `batch_no` and `n_batches` to links numbered by `rn` from 1 within their crawl."""
-    one = {"_seen": F.lit(1).cast("bigint")}
-    counted = running_totals(links, ["crawl_id"], "rn", one, {"_seen": "_links"}, width)
-    return counted.withColumns(
-        {
-            "batch_no": (F.col("rn") - 1 - F.pmod(F.col("rn") - 1, F.lit(size))) / size + 1,
-            "n_batches": F.ceil(F.col("_links") / size),
-        }
-    ).withColumn("batch_no", F.col("batch_no").cast("bigint")).drop("_seen", "_links")
+def batch_assign(links: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+    """Add `batch_no` and `n_batches` to links numbered by `rn` from 1 within their crawl.
+
+    The number is the rank, so the last one tells how many links there are.
+    """
+    last = links.groupBy("crawl_id").agg(F.max("rn").alias("_links"))
+    return (
+        links.join(last, "crawl_id")
+        .withColumns(
+            {
+                "batch_no": F.floor((F.col("rn") - 1) / size) + 1,
+                "n_batches": F.ceil(F.col("_links") / size),
+            }
+        )
+        .select(*links.columns, "batch_no", "n_batches")
+    )
 
 
 def batch_eta(log: DataFrame, start: Column | None = None, width: int = SLAB_WIDTH) -> DataFrame:

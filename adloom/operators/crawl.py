@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.operators.running import SLAB_WIDTH, cut, previous_value, running_totals
+from adloom.operators.running import SLAB_WIDTH, previous_value, running_totals
 
-# Identifiers that make up a page fingerprint, and pages a crawl reads at most.
-FINGERPRINT_IDS = 10
-PAGE_CAP = 25
 
-
-def fingerprint(ids: Column, size: int = FINGERPRINT_IDS) -> Column:
-    """The first identifiers of a page as one comparable value."""
-    return F.array_join(F.slice(ids, 1, size), ",")
+def fingerprint(ids: Column, size: int | None = None) -> Column:
+    """A digest of all identifiers of a page in their order, or of the first `size` only."""
+    return F.md5(F.to_json(ids if size is None else F.slice(ids, 1, size)))
 
 
 def stuck_pages(log: DataFrame, width: int = SLAB_WIDTH) -> DataFrame:
@@ -24,16 +20,23 @@ def stuck_pages(log: DataFrame, width: int = SLAB_WIDTH) -> DataFrame:
     return seen.withColumn("stuck", F.coalesce(repeats, F.lit(False))).drop("_previous")
 
 
-def crawl_prefix(log: DataFrame, cap: int | None = PAGE_CAP, width: int = SLAB_WIDTH) -> DataFrame:
-    """The pages a crawl gets to: up to its first empty or stuck page, or the cap."""
+def first_stops(log: DataFrame, width: int = SLAB_WIDTH) -> DataFrame:
+    """The page a crawl ends before, its first empty or stuck one: crawl_id, stop. Other crawls have no row."""
+    ends = stuck_pages(log, width).filter((F.col("n_links") == 0) | F.col("stuck"))
+    return ends.groupBy("crawl_id").agg(F.min("page_num").alias("stop"))
+
+
+def before_stop(rows: DataFrame, stops: DataFrame, cap: int | None = None) -> DataFrame:
+    """The rows on pages before the stop of their crawl, and up to page `cap` if there is one."""
     if cap is not None:
-        log = log.filter(F.col("page_num") <= cap)
-    log = cut(log, ["crawl_id"], "page_num", width)
-    stop = (F.col("n_links") == 0) | F.col("stuck")
-    summed = running_totals(
-        stuck_pages(log, width), ["crawl_id"], "page_num", {"_stops": F.when(stop, 1).otherwise(0)}, width=width
-    )
-    return summed.filter("_stops = 0").drop("_stops", "stuck", "_slab")
+        rows = rows.filter(F.col("page_num") <= cap)
+    joined = rows.join(stops, "crawl_id", "left").filter(F.col("stop").isNull() | (F.col("page_num") < F.col("stop")))
+    return joined.select(*rows.columns)
+
+
+def crawl_prefix(log: DataFrame, cap: int | None = None, width: int = SLAB_WIDTH) -> DataFrame:
+    """The pages a crawl gets to: up to its first empty or stuck page, or the cap."""
+    return before_stop(log, first_stops(log, width), cap)
 
 
 def crawl_progress(log: DataFrame, n: str = "n_links", width: int = SLAB_WIDTH) -> DataFrame:

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions.urls import normalize_base_url, page_path, set_query_param
 
 
+def listing_choice(tried: DataFrame, by: Sequence[str] = ("page",)) -> DataFrame:
+    """The first candidate of each page whose fetch has links: attempt, candidate. Pages without one have no row.
+
+    `tried` is the frontier with `n_links`, the number of links found there, null for a failed fetch.
+    """
+    found = tried.filter(F.col("n_links") > 0)
+    first = F.min_by(F.struct("attempt", "candidate"), "attempt").alias("_first")
+    return found.groupBy(*by).agg(first).select(*by, "_first.*")
+
+
 def listing_frontier(bases: DataFrame, pages: int, url: str = "url") -> DataFrame:
     """Candidate URLs of pages 1..`pages` of each base, in the order to try them.
 

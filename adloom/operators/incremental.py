@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions.text import headline, normalized, strip
 from adloom.functions.urls import id_from_url
-from adloom.operators.matching import HOT_ROWS, match_rows
-from adloom.operators.running import SLAB_WIDTH, running_totals, slab_of
+from adloom.operators.running import SLAB_WIDTH, cut, running_totals
 from adloom.operators.validity import is_stored
 
 
@@ -49,9 +48,13 @@ def with_title_key(links: DataFrame) -> DataFrame:
     ).filter("title_key IS NOT NULL")
 
 
-def not_stored(links: DataFrame, stored: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Links whose key is not stored yet; repeats among them stay."""
-    return match_rows(links, stored.select(key).distinct(), [key], "left_anti", hot_rows)
+def not_stored(links: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Links whose key is not stored yet; repeats among them stay.
+
+    The shuffle of the links feeds the join, so adaptive execution splits a hot key; repeats among the stored keys do
+    not matter to an anti join.
+    """
+    return links.join(stored.select(key), key, "left_anti")
 
 
 def first_seen(links: DataFrame, key: str, pos: str = "pos") -> DataFrame:
@@ -76,16 +79,19 @@ def skipped(links: DataFrame, stored: DataFrame, key: str, pos: str = "pos") ->
     return links.join(taken.select(pos), pos, "left_anti")
 
 
-def skipped_preview(passed_over: DataFrame, page: str = "page", shown: int = 3, pos: str = "pos") -> DataFrame:
-    """The first few skipped links of each page and how many more it has."""
-    totals = passed_over.groupBy(page).agg(F.count("*").alias("total"))
+def skipped_preview(
+    passed_over: DataFrame, page: Sequence[str] = ("page",), shown: int = 3, pos: str = "pos"
+) -> DataFrame:
+    """The first few skipped links of each page and how many more it has; `page` tells pages of all crawls apart."""
+    page = list(page)
+    totals = passed_over.groupBy(*page).agg(F.count("*").alias("total"))
     label = F.when(F.col("title") != "", headline(F.col("title"), 50)).otherwise(headline(F.col("url"), 50))
     return (
-        passed_over.select(page, pos, "id", label.alias("shown"))
-        .withColumn("rank", F.row_number().over(W.partitionBy(page).orderBy(pos)))
+        passed_over.select(*page, pos, "id", label.alias("shown"))
+        .withColumn("rank", F.row_number().over(W.partitionBy(*page).orderBy(pos)))
         .filter(F.col("rank") <= shown)
         .join(totals, page)
-        .select(page, "rank", pos, "id", "shown", F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
+        .select(*page, "rank", pos, "id", "shown", F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
     )
 
 
@@ -128,17 +134,17 @@ def budget_cut(
     """
     keys = [*by, "_slab"]
     limit = F.lit(budget) if isinstance(budget, int) else budget
-    cut = links.withColumn("_slab", slab_of(pos, width))
+    rows = cut(links, by, pos, width)
     before = W.partitionBy(*by).orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
     slabs = (
-        cut.groupBy(*keys)
+        rows.groupBy(*keys)
         .agg(F.count("*").alias("_n"))
         .select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
         .filter(F.col("_before") < limit)
     )
     inside = W.partitionBy(*keys).orderBy(pos)
     return (
-        cut.join(slabs, keys)
+        rows.join(slabs, keys)
         .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
         .filter(F.col("_rank") <= limit)
         .select(*links.columns)

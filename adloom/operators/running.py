@@ -9,7 +9,6 @@ rows, and carry the result from slab to slab with a second window over one row p
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,16 +22,22 @@ def slab_of(pos: str, width: int) -> Column:
     return F.col(pos) - F.pmod(F.col(pos), F.lit(width))
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """A column of which a null stops the job, as its row would have no place in the order."""
+    missing = F.raise_error(F.lit(f"a row without {name} has no place in the order"))
+    return F.coalesce(F.col(name), missing.cast(df.schema[name].dataType))
+
+
 def cut(df: DataFrame, by: Sequence[str], pos: str, width: int = SLAB_WIDTH) -> DataFrame:
     """Add the slab of each row as `_slab`, unless it is there already.
 
-    Operators applied one after the other to a table that has been cut share its partitioning.
-    The filter is the one a join on the keys adds; here it is the same for all uses of the table.
+    Operators applied one after the other to a table that has been cut share its partitioning. Rows that belong to no
+    group or have no position are never lost: the job fails.
     """
     if "_slab" in df.columns:
         return df
-    present = reduce(Column.__and__, [F.col(k).isNotNull() for k in [*by, "_slab"]])
-    return df.withColumn("_slab", slab_of(pos, width)).filter(present)
+    df = df.withColumns({name: present(df, name) for name in [*by, pos]})
+    return df.withColumn("_slab", slab_of(pos, width))
 
 
 def running_totals(
@@ -45,15 +50,14 @@ def running_totals(
 ) -> DataFrame:
     """Add running sums in position order within each group, the current row included.
 
-    Rows without group key or position belong to no group and are left out.
-
-    `totals` maps names in `sums` to columns that get the sum over the whole group.
+    Nulls add nothing. `totals` maps names in `sums` to columns that get the sum over the whole group.
+    Positions should be dense, like row numbers: a slab of them is what a task takes.
     """
     keys = [*by, "_slab"]
     rows = cut(df, by, pos, width)
     over_slabs = W.partitionBy(*by)
     before = over_slabs.orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
-    slabs = rows.groupBy(*keys).agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in sums.items()])
+    slabs = rows.groupBy(*keys).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(f"_sum_{k}") for k, v in sums.items()])
     slabs = slabs.select(
         *keys,
         *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_before_{k}") for k in sums],
@@ -62,7 +66,7 @@ def running_totals(
     inside = W.partitionBy(*keys).orderBy(pos).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = rows.join(slabs, keys)
     out = out.select(
-        "*", *[(F.col(f"_before_{k}") + F.sum(v).over(inside)).alias(k) for k, v in sums.items()]
+        "*", *[(F.col(f"_before_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(k) for k, v in sums.items()]
     )
     return out.select(*df.columns, *sums, *(totals or {}).values())
 

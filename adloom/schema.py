@@ -21,9 +21,6 @@ ADS_COLUMNS = [
 # Fixed value: title stored for a page that could not be fetched.
 ERROR_TITLE = "403 ERROR"
 
-# Fixed value: target used when there is no other table to take it from.
-DEFAULT_TARGET = 1321
-
 # Fixed value: position of the first record (the header is line 1).
 FIRST_POSITION = 2
 

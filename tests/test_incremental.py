@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from adloom.operators import batches, crawl, running
 from adloom.operators import incremental as inc
 from adloom.operators.shape import align, sample_head, stamp_rows, union_sources
-from adloom.plans.ingest import ingest_by_id, ingest_by_title, load, page_log, run_summary
-from adloom.schema import ADS_COLUMNS, DEFAULT_TARGET
+from adloom.plans.ingest import ingest, ingest_by_id, ingest_by_title, load, page_log, reached, run_summary
+from adloom.schema import ADS_COLUMNS
 
 ERR = "403 ERROR"
 LINKS = "crawl_id string, page_num bigint, pos bigint, id string, url string, title string"
@@ -83,14 +83,13 @@ def test_new_skipped_and_first_seen_by_id(spark, make_ads):
     assert positions(inc.accepted(links, ids, "id")) == new
     skipped = inc.skipped(links, ids, "id")
     assert positions(skipped) == sorted({r[2] for r in data} - set(new))
-    for hot in (5, 1000):
-        assert positions(inc.not_stored(links, ids, "id", hot)) == [r[2] for r in data if r[3] not in known]
+    assert positions(inc.not_stored(links, ids, "id")) == [r[2] for r in data if r[3] not in known]
     assert positions(inc.first_seen(links, "id")) == scan(data, lambda r: r[3], ())
     stats = {r["page_num"]: (r["found"], r["new"], r["skipped"]) for r in inc.page_stats(links, ids, "id", ["page_num"]).collect()}
     for page in {r[1] for r in data}:
         own = [r[2] for r in data if r[1] == page]
         assert stats[page] == (len(own), len(set(own) & set(new)), len(set(own) - set(new)))
-    shown = inc.skipped_preview(skipped, "page_num").collect()
+    shown = inc.skipped_preview(skipped, ["page_num"]).collect()
     for page in {r[1] for r in data}:
         out = sorted({r[2] for r in data if r[1] == page} - set(new))
         assert sorted(r["pos"] for r in shown if r["page_num"] == page) == out[:3]
@@ -130,7 +129,7 @@ def test_budgets(spark, width):
 
 def test_remaining_counts_stored_ads(spark, make_ads):
     stored = make_ads([{"title": "x"}, {"title": ERR}, {"title": ""}])
-    assert spark.range(1).select(inc.remaining(DEFAULT_TARGET, stored)).first()[0] == 1320
+    assert spark.range(1).select(inc.remaining(1321, stored)).first()[0] == 1320
 
 
 def test_crawl_stops_at_empty_stuck_and_cap(spark):
@@ -138,7 +137,7 @@ def test_crawl_stops_at_empty_stuck_and_cap(spark):
         ("empty", 1, 2, "a"), ("empty", 2, 0, ""), ("empty", 3, 2, "b"),
         ("stuck", 1, 2, "a"), ("stuck", 2, 2, "b"), ("stuck", 3, 2, "b"), ("stuck", 4, 1, "c"),
         ("alike", 1, 2, "a"), ("alike", 2, 2, "b"), ("alike", 3, 2, "a"),
-        ("none", 1, 0, ""), ("long", 1, 1, "x"), *[("long", p, 1, f"p{p}") for p in range(2, 31)],
+        ("none", 1, 0, ""), ("long", 1, 1, "x"), *[("long", p, 1, f"p{p}") for p in range(2, 41)],
     ]
     df = spark.createDataFrame(log, "crawl_id string, page_num bigint, n_links bigint, fp string")
     for width in (1, 4, 1000):
@@ -147,32 +146,81 @@ def test_crawl_stops_at_empty_stuck_and_cap(spark):
         for r in reached.collect():
             pages.setdefault(r["crawl_id"], []).append(r["page_num"])
         assert {c: sorted(p) for c, p in pages.items()} == {
-            "empty": [1], "stuck": [1, 2], "alike": [1, 2, 3], "long": list(range(1, 26)),
+            "empty": [1], "stuck": [1, 2], "alike": [1, 2, 3], "long": list(range(1, 41)),
         }
+        capped = crawl.crawl_prefix(df, cap=25, width=width).filter("crawl_id = 'long'")
+        assert capped.count() == 25
         progress = crawl.crawl_progress(reached, width=width).filter("crawl_id = 'stuck'").orderBy("page_num")
         assert [r["found_so_far"] for r in progress.collect()] == [2, 4]
     estimate = {r["crawl_id"]: (r["pages"], r["estimated"]) for r in crawl.page_estimate(df).collect()}
     assert estimate["stuck"] == (4, 2 * 3 + 1) and estimate["none"] == (0, 0)
 
 
+def fetched_of(spark, pages):
+    """The ads behind the links of a list of pages, titled as there; "-" stands for one without a title of its own."""
+    rows = {i: "" if t == "-" else t or "own title" for page in pages for i, t in page if t != "failed"}
+    return spark.createDataFrame([(f"https://h.example/{i}", t) for i, t in rows.items()], "url string, title string")
+
+
 def test_page_log_and_ingest_by_id(spark, make_ads):
     pages = [
         [(f"a{i}", f"A{i}") for i in range(12)],
-        [("a0", "A0"), ("s", "S"), ("b1", ""), ("b2", ERR), ("b3", "B3")],
+        [("a0", "A0"), ("s", "S"), ("b1", ""), ("b2", ERR), ("b3", "B3"), ("b4", "failed"), ("b5", "-")],
         [(f"c{i}", f"C{i}") for i in range(10)] + [("d", "D")],
         [(f"c{i}", f"C{i}") for i in range(10)] + [("e", "E")],
+        [(f"c{i}", f"C{i}") for i in range(10)] + [("e", "E")],
         [("f", "F")],
     ]
-    links = links_of(spark, pages)
+    links, fetched = links_of(spark, pages), fetched_of(spark, pages)
     log = {r["page_num"]: (r["n_links"], r["fp"]) for r in page_log(links).collect()}
-    assert log[1] == (12, ",".join(f"a{i}" for i in range(10))) and log[3][1] == log[4][1]
+    assert log[1][0] == 12 and log[3][1] != log[4][1] == log[5][1]
     stored = make_ads([{"url": "https://h.example/s", "title": "S"}, {"url": "https://h.example/t", "title": ERR}])
-    got = ingest_by_id(links, stored, 99).orderBy("pos").collect()
-    assert [r["id"] for r in got] == [f"a{i}" for i in range(12)] + ["b2", "b3"] + [f"c{i}" for i in range(10)] + ["d"]
-    assert len(ingest_by_id(links, stored, 5).collect()) == 4
-    new = inc.accepted(links, inc.stored_ids(stored), "id")
-    assert tuple(run_summary(links, stored, new).first()) == (28, 1, new.count(), 1 + new.count())
-    assert ingest_by_id(links, stored, 1).count() == 0
+    got = ingest_by_id(links, fetched, stored, 99).orderBy("pos").collect()
+    want = [f"a{i}" for i in range(12)] + ["b1", "b2", "b3"] + [f"c{i}" for i in range(10)] + ["d", "e"]
+    assert [r["url"].split("/")[-1] for r in got] == want
+    assert ingest_by_id(links, fetched, stored).count() == len(want)
+    assert ingest_by_id(links, fetched, stored, 5).count() == 4
+    new = inc.accepted(reached(links), inc.stored_ids(stored), "id").count()
+    assert tuple(run_summary(links, stored).first()) == (41, 1, new, 1 + new)
+    assert ingest_by_id(links, fetched, stored, 1).count() == 0
+
+
+def test_pages_alike_in_ten_ids_or_joined_text_only_are_not_stuck(spark):
+    ten = [(f"c{i}", "") for i in range(10)]
+    links = links_of(spark, [[*ten, ("x", "")], [*ten, ("y", "")], [("a,b", "")], [("a", ""), ("b", "")], [("a", ""), ("b", "")]])
+    assert {r["page_num"] for r in reached(links).collect()} == {1, 2, 3, 4}
+    assert crawl.fingerprint is not None and spark.range(1).select(
+        crawl.fingerprint(F.array(F.lit("a"), F.lit("b")), 1) == crawl.fingerprint(F.array(F.lit("a")))
+    ).first()[0]
+
+
+def test_a_whole_run(spark, make_ads):
+    page = "<div><a data-q='search-result-anchor' href='/job/{0}'>{1}</a></div>"
+    rows = [
+        (0, "c", 1, page.format(1, "<h3>One</h3>") + page.format(2, "")),
+        (1, "c", 2, page.format(1, "") + page.format(3, "<h3>Three</h3>")),
+        (2, "c", 3, "<p>none</p>"),
+        (3, "c", 4, page.format(9, "")),
+        (4, "d", 1, page.format(4, "") + page.format(5, "")),
+    ]
+    listings = spark.createDataFrame(rows, "page_id long, crawl_id string, page_num long, html string")
+    pages = [(f"https://h.example/job/{k}", f"<h1>Ad {k}</h1>") for k in (1, 2, 4, 9)] + [("https://h.example/job/5", "<p>no title</p>")]
+    stored = make_ads([{"id": "4", "url": "https://h.example/job/4", "title": "Old"}]).drop("pos")
+    fetched = spark.createDataFrame(pages, "url string, html string")
+    after, totals = ingest(listings, fetched, stored, "https://h.example")
+    assert sorted((r["id"], r["title"]) for r in after.collect()) == [("1", "Ad 1"), ("2", "Ad 2"), ("4", "Old")]
+    assert tuple(totals.first()) == (6, 1, 2, 3)
+    after, totals = ingest(listings, fetched, stored, "https://h.example", target=2)
+    assert sorted(r["id"] for r in after.collect()) == ["1", "4"] and totals.first()["total_after"] == 2
+
+
+def test_rows_without_a_place_in_the_order_are_refused(spark):
+    for row in [(None, 1, 1), ("g", None, 1)]:
+        df = spark.createDataFrame([("g", 2, 1), row], "g string, p bigint, v bigint")
+        with pytest.raises(Exception, match="no place in the order"):
+            running.running_totals(df, ["g"], "p", {"t": F.col("v")}).collect()
+    df = spark.createDataFrame([("g", 1, None), ("g", 2, 3)], "g string, p bigint, v bigint")
+    assert [r["t"] for r in running.running_totals(df, ["g"], "p", {"t": F.col("v")}).orderBy("p").collect()] == [0, 3]
 
 
 def test_ingest_by_title_takes_whole_pages(spark, make_ads):
@@ -203,7 +251,7 @@ def test_batches(spark):
     log = [("c", i, d) for i, d in enumerate([1000, 2000, 1500, 333, 50, 10, 70], 1)]
     df = spark.createDataFrame(log, "crawl_id string, rn bigint, duration_cents bigint")
     for width in (2, 1000):
-        got = batches.batch_assign(df, 3, width).orderBy("rn").collect()
+        got = batches.batch_assign(df, 3).orderBy("rn").collect()
         assert [(r["batch_no"], r["n_batches"]) for r in got] == [(i // 3 + 1, 3) for i in range(7)]
         start = F.lit("2024-05-01 23:59:50").cast("timestamp")
         eta = batches.batch_eta(df, start, width).orderBy("rn").collect()

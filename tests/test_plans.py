@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from adloom.catalog import bindings as b
+from adloom.operators import batches, crawl
 from adloom.operators import duplicates as dup
 from adloom.operators import incremental as inc
 from adloom.operators import validity as v
-from adloom.operators.matching import match_rows
 from adloom.operators.running import running_totals
 from adloom.sources import pages as pg
 
@@ -50,12 +50,12 @@ def test_no_cross_joins_and_no_window_over_everything(spark):
     ids = inc.stored_ids(stored)
     frames = [
         dup.duplicates(dup.marks(ads)),
-        dup.preview_first(dup.marks(ads)),
+        dup.preview_first(dup.duplicates(dup.marks(ads))),
         dup.preview_second(dup.marks(ads)),
         inc.accepted(links, ids, "id"),
         inc.skipped(links, ids, "id"),
         inc.page_stats(links, ids, "id", ["page_num"]),
-        inc.skipped_preview(inc.skipped(links, ids, "id"), "page_num"),
+        inc.skipped_preview(inc.skipped(links, ids, "id"), ["crawl_id", "page_num"]),
         inc.budget_cut(links, 50, by=["crawl_id"]),
         running_totals(links, ["crawl_id"], "pos", {"n": F.lit(1)}),
     ]
@@ -68,7 +68,7 @@ def test_no_cross_joins_and_no_window_over_everything(spark):
 
 def test_windows_that_pick_a_few_rows_cut_before_the_shuffle(spark):
     marked = dup.marks(b.ads(spark, FOLDER))
-    for df in (dup.second_occurrence(marked), dup.preview_first(marked)):
+    for df in (dup.second_occurrence(marked), dup.preview_first(dup.duplicates(marked))):
         text = plan(df)
         assert re.search(r"WindowGroupLimit.*Partial", text) and re.search(r"WindowGroupLimit.*Final", text)
 
@@ -113,14 +113,19 @@ def test_ten_times_the_rows_keep_the_plan(spark, name):
     assert shuffles(plan(build(ads))) == shuffles(plan(build(big)))
 
 
-def test_rows_of_a_hot_key_are_not_shuffled(spark):
-    """Only the other rows go through the join on the key; hot ones are filtered where they lie."""
-    rows = spark.range(0, 3000).select(
-        F.col("id").alias("pos"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("id")
-    )
-    for known, kept in [("hot", 1999), ("cold", 2999)]:
-        stored = spark.createDataFrame([(known,), ("1",), (known,)], "id string")
-        new = inc.not_stored(rows, stored, "id", hot_rows=100)
-        assert new.count() == kept
-        assert plan(new).count("BroadcastHashJoin") >= 2
-        assert match_rows(rows, stored, ["id"], "left_semi", hot_rows=100).count() == 3000 - kept
+def test_new_links_take_one_scan_and_one_join(spark):
+    links, stored = b.links(spark, FOLDER), b.stored(spark, FOLDER)
+    text = plan(inc.not_stored(links, inc.stored_ids(stored), "id"))
+    assert text.count("FileScan") == 2 and text.count("LeftAnti") == 1
+
+
+def test_crawls_end_without_running_sums(spark):
+    """One window over slabs and one inside them find stuck pages; the rest is one aggregate and one join."""
+    log = b.crawl_log(spark, FOLDER)
+    text = plan(crawl.crawl_prefix(log))
+    assert len(re.findall(r"Window \[", text)) <= 3 and shuffles(text) <= 5
+
+
+def test_batches_take_one_aggregate_and_one_join(spark):
+    log = b.batch_log(spark, FOLDER).select("crawl_id", "rn")
+    assert "Window" not in plan(batches.batch_assign(spark.createDataFrame(log.limit(5).collect(), log.schema)))
