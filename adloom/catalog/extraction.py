@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from adloom.catalog import bindings as b
 from adloom.functions.markup import hrefs_of, title_of
 from adloom.functions.text import collapse
+from adloom.session import spread
 from adloom.sources import pages as pg
 
 
@@ -26,7 +27,10 @@ def _udtf(s, f):
 FIELDS = {"pay": pg.SALARY_LABELS, "hours": pg.HOURS_LABELS, "employer": pg.COMPANY_LABELS}
 
 QUERIES = {
-    "extract_title": lambda s, f: _pages(s, f).select("page_id", title_of(F.col("html")).alias("title")),
+    "extract_title": lambda s, f: spread(_pages(s, f).select("page_id", "html")).select(
+        "page_id", collapse(F.coalesce(pg.parse(F.col("html"))["title"], F.lit(""))).alias("title")
+    ),
+    "title_by_pattern": lambda s, f: _pages(s, f).select("page_id", title_of(F.col("html")).alias("title")),
     "extract_links": lambda s, f: pg.extract_links(_pages(s, f), b.HOST, token="/").select("page_id", "ord", "url"),
     "udtf_links": _udtf,
     "sample_links": lambda s, f: _pages(s, f).select(
@@ -78,6 +82,7 @@ _CHOSEN = """CASE WHEN len(list_filter(hrefs, lambda h: starts_with(h, '/th')))
 _PAY = "'£' || p_size || ' per hour. Call or text 07123456789'"
 
 ORACLE = {
+    "title_by_pattern": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "extract_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "extract_links": f"""WITH {_ALL} SELECT page_id, CAST(i AS INT) AS ord, {_URL} AS url FROM ({_exploded('hrefs')})
         WHERE contains(href, '/')""",

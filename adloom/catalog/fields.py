@@ -82,6 +82,7 @@ def _found(rule: str, spelled: str) -> str:
     return f"WHEN regexp_matches(description, '{rule}', 'i') THEN {spelled}"
 
 
+# The amount, period and rules of salaries, as SQL takes them.
 _N = "([0-9]+(?:,[0-9]{3})*(?:[.][0-9]+)?)"
 _UNIT = r"\s*(?:per|/)\s*(hour|hr|day|week|month|annum|year|shift)"
 _RULES = [(rf"£\s?{_N}\s*-\s*£\s?{_N}{_UNIT}", 3), (rf"£\s?{_N}\s*-\s*{_N}{_UNIT}", 3), (rf"£\s?{_N}{_UNIT}", 2)]

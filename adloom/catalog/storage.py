@@ -56,7 +56,7 @@ def _event_stream(s, f):
 
 def _stream_dedup(s, f):
     path = staging_path(s, "stream")
-    seen = first_seen_stream(_event_stream(s, f), ["id"], "ts", "3650 days")
+    seen = first_seen_stream(_event_stream(s, f), ["id"], "ts", "30 days")
     writer = seen.select("id").writeStream.format("parquet").option("checkpointLocation", f"{path}.state")
     writer.trigger(availableNow=True).start(path).awaitTermination()
     return s.read.parquet(path)

@@ -20,7 +20,7 @@ AMOUNT = r"£\s?(\d+(?:,\d{3})*(?:\.\d+)?)"
 BARE_AMOUNT = r"(\d+(?:,\d{3})*(?:\.\d+)?)"
 PERIOD = r"\s*(?:per|/)\s*(hour|hr|day|week|month|annum|year|shift)"
 
-# Searched one after the other, each over the whole text.
+# Searched one after the other, each over the whole text.
 RANGE = rf"(?iU){AMOUNT}\s*-\s*{AMOUNT}{PERIOD}"
 HALF_RANGE = rf"(?iU){AMOUNT}\s*-\s*{BARE_AMOUNT}{PERIOD}"
 SINGLE = rf"(?iU){AMOUNT}{PERIOD}"

@@ -28,25 +28,40 @@ def first_seen_stream(
     return timed.dropDuplicatesWithinWatermark(list(key))
 
 
+# Folders into which the stored keys are dealt out; a batch reads those its keys fall into.
+BUCKETS = 64
+
+
 def append_unseen(
     stream: DataFrame, table: str, key: str, pos: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Append the first ad of each key that the table does not have yet, batch by batch.
 
-    The stored table is the state; only its key column is read, and only keys that the batch has
-    leave the scan. A batch that is run again after a failure finds its ads stored and adds none
-    twice.
+    The stored table is the state. It is partitioned by a hash of the key, `_bucket`, and a batch reads the key column of
+    its own buckets only; a table stored without buckets is read whole. A batch that is run again after a failure finds
+    its ads stored and adds none twice.
     """
 
     def append(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = first_seen(batch, key, pos)
-        if not exists(spark, table):
-            append_parquet(fresh, table)
-            return
-        fresh = fresh.persist()
-        known = spark.read.parquet(table).select(key).join(fresh.select(key), key, "left_semi").distinct()
-        append_parquet(fresh.join(known, key, "left_anti").select(*batch.columns), table)
+        bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
+        fresh = first_seen(batch, key, pos).withColumn("_bucket", bucket).persist()
+        if exists(spark, table):
+            stored = spark.read.parquet(table)
+            if "_bucket" in stored.columns:
+                own = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most BUCKETS numbers
+                stored = stored.filter(F.col("_bucket").isin(own))
+            known = stored.select(key).join(fresh.select(key), key, "left_semi")
+            added = fresh.join(known, key, "left_anti")
+            if "_bucket" not in stored.columns:
+                append_parquet(added.select(*batch.columns), table)
+                fresh.unpersist()
+                return
+        else:
+            added = fresh
+        # Dealt out by bucket, so that a batch adds one file to each it touches.
+        dealt = added.select(*batch.columns, "_bucket").repartition("_bucket")
+        dealt.write.mode("append").partitionBy("_bucket").parquet(table)
         fresh.unpersist()
 
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)

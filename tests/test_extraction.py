@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from adloom.functions.markup import hrefs_of, title_of
 from adloom.sources import pages as pg
 from adloom.sources.pagetree import read_fields, read_links
 
@@ -143,3 +144,12 @@ def test_unclosed_and_odd_markup():
     assert [a["own"] for a in read_links("<a href=/1><h3>A</h3><a href='/2'><h3>B</h3>", pg.LINK_MARKER)] == ["A", "B"]
     assert read_fields(None, [], {}, frozenset())["title"] is None
     assert read_fields("<div>" * 50000 + "<h1>deep</h1>", pg.ALL_LABELS, pg.CARD_VALUES, frozenset())["title"] == "deep"
+
+
+def test_patterns_and_tree_skip_what_is_no_part_of_the_page(spark):
+    page = "<!-- <h1>old</h1><a href='/x'>x</a> --><script>'<h1>no</h1><a href=/y>'</script><h1>new</h1><a href='/z'>z</a>"
+    both = spark.createDataFrame([(1, page), (2, "<h1>Caf&eacute; &ndash; A&#8217;s</h1>")], "page_id long, html string")
+    tree = both.select("page_id", pg.parse(F.col("html"))["title"].alias("title")).orderBy("page_id").collect()
+    assert [r["title"].strip() for r in tree] == ["new", "Café – A’s"]
+    first = both.filter("page_id = 1").select(title_of(F.col("html")), hrefs_of(F.col("html"))).first()
+    assert tuple(first) == ("new", ["/z"])

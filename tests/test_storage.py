@@ -3,6 +3,7 @@
 import csv
 import glob
 import os
+import re
 from datetime import datetime
 
 import pytest
@@ -224,6 +225,18 @@ def test_append_unseen_over_batches_and_restart(spark, tmp_path):
     assert spark.read.parquet(table).count() == 4
 
 
+def test_a_batch_reads_its_own_buckets(spark, tmp_path, monkeypatch):
+    folder, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    many = [(f"k{k}", 1, k) for k in range(300)]
+    append_unseen(batches_in(spark, folder, many), table, "id", "pos", state).awaitTermination()
+    assert len(glob.glob(f"{table}/_bucket=*")) > 50
+    append_unseen(batches_in(spark, folder, [("k7", 2, 900), ("new", 2, 901)]), table, "id", "pos", state).awaitTermination()
+    stored = spark.read.parquet(table)
+    assert stored.count() == 301
+    text = stored.filter(F.col("_bucket").isin([1, 2])).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[_bucket#\d+ IN", text)
+
+
 @pytest.mark.parametrize("spread", [1, 4])
 def test_first_seen_stream(spark, tmp_path, spread):
     rows = [("hot", m, m) for m in range(30)] + [("a", 1, 50), ("b", 2, 51)]
