@@ -50,9 +50,9 @@ QUERIES = {
     "sample_ads": lambda s, f: pg.sample_ads(
         b.card_listing_pages(s, f), b.linked_card_pages(s, f), b.HOST
     ).select("id", "url", "title", "company"),
-    "extract_ads_pages": lambda s, f: pg.extract_ads(_pages(s, f), keep=("page_id",)).select(
-        "page_id", "id", "url", collapse(F.col("title")).alias("title")
-    ),
+    "extract_ads_pages": lambda s, f: pg.extract_ads(_pages(s, f), now=_now(), keep=("page_id",))
+    .drop("_error")
+    .withColumns({c: collapse(F.col(c)) for c in ("title", "location")}),
 }
 
 _UNESCAPED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&middot;": "·", "&amp;": "&"}
@@ -67,6 +67,10 @@ def _unescape(c: str) -> str:
 _TITLE = b.sql_collapse(
     _unescape(r"regexp_replace(regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")
 )
+# Without labels, the place of an ad is the paragraph next to its heading.
+_BESIDE = b.sql_collapse(
+    _unescape(r"regexp_replace(regexp_extract(html, '(?is)</h1><p>(.*?)(?:</?p>|</article>)', 1), '<[^>]*>', ' ', 'g')")
+)
 _HREFS = r"""regexp_extract_all(html, '(?is)<a\b[^>]*?\shref="([^"]+)"', 1)"""
 _ALL = f"hrefs AS (SELECT page_id, {_HREFS} AS hrefs FROM pages)"
 
@@ -111,6 +115,7 @@ ORACLE = {
             '{b.RUN_TIME}' AS scraped_at, 'A ' || p_name || ' by ' || p_brand AS description FROM part""",
     "sample_ads": f"""SELECT p_partkey || '?r=1' AS id, '{b.HOST}/oferta/praca/' || p_partkey || '.html?r=1' AS url,
             p_name AS title, p_brand AS company FROM part WHERE p_size <= 25""",
-    "extract_ads_pages": f"""SELECT page_id, split_part(rtrim(url, '/'), '/', -1) AS id, url, {_TITLE} AS title FROM pages
+    "extract_ads_pages": f"""SELECT page_id, split_part(rtrim(url, '/'), '/', -1) AS id, url, {_TITLE} AS title, '' AS company, '' AS salary,
+            {_BESIDE} AS location, '' AS work_time, '' AS contract_type, '{b.RUN_TIME}' AS scraped_at, '' AS description FROM pages
         WHERE {_TITLE} <> ''""",
 }

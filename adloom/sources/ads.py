@@ -40,20 +40,23 @@ def read_csv(
     header: bool = True,
     positions: bool = False,
     quarantine: bool = False,
+    multiline: bool = True,
 ) -> DataFrame:
     """Scan an ad CSV; missing fields and missing files give empty text and an empty table.
 
     `positions` adds `pos`. `quarantine` adds `_bad` with the text of records that have too few
-    or too many fields; they stay in the table, filled up or cut. The header must name the ad
+    or too many fields; they stay in the table, filled up or cut. Files without line ends inside quotes can be read in
+    splits, with `multiline=False`. The header must name the ad
     columns in their order; `read_csv_columns` with `align` takes any other.
     """
     columns = [*(["pos"] if positions else []), *ADS_COLUMNS, *([BAD_RECORD] if quarantine else [])]
     if isinstance(path, str) and not exists(spark, path):
         nothing = {"pos": F.lit(None).cast("bigint"), BAD_RECORD: F.lit(None).cast("string")}
         return empty_ads(spark).withColumns(nothing).select(columns)
+    reading = {**QUOTING, "multiLine": str(multiline).lower()}
     df = (
         spark.read.schema(_with_bad(ADS_SCHEMA))
-        .options(header=str(header).lower(), enforceSchema="false", columnNameOfCorruptRecord=BAD_RECORD, **QUOTING)
+        .options(header=str(header).lower(), enforceSchema="false", columnNameOfCorruptRecord=BAD_RECORD, **reading)
         .csv(path)
     )
     if positions:

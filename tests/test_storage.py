@@ -275,3 +275,10 @@ def test_local_folders_are_refused_on_a_cluster():
         with pytest.raises(ValueError):
             shared_dir(Session(folder))
     assert shared_dir(Session("hdfs://name/x/")) == "hdfs://name/x"
+
+
+def test_single_line_files_can_be_split(spark, make_ads, tmp_path):
+    path = str(tmp_path / "flat")
+    src.write_csv(make_ads([{"id": str(k), "title": 'a "b"'} for k in range(50)]), path)
+    flat = src.read_csv(spark, path, multiline=False)
+    assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, src.read_csv(spark, path).collect()))
