@@ -28,7 +28,7 @@ FIELDS = {"pay": pg.SALARY_LABELS, "hours": pg.HOURS_LABELS, "employer": pg.COMP
 
 QUERIES = {
     "extract_title": lambda s, f: spread(_pages(s, f).select("page_id", "html")).select(
-        "page_id", collapse(F.coalesce(pg.parse(F.col("html"))["title"], F.lit(""))).alias("title")
+        "page_id", collapse(F.coalesce(pg.parse(F.col("html"), wanted=["title"])["title"], F.lit(""))).alias("title")
     ),
     "title_by_pattern": lambda s, f: _pages(s, f).select("page_id", title_of(F.col("html")).alias("title")),
     "extract_links": lambda s, f: pg.extract_links(_pages(s, f), b.HOST, token="/").select("page_id", "ord", "url"),

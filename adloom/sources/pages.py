@@ -6,7 +6,7 @@ expressions, so the choice of fields stays visible to the optimizer.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
@@ -20,7 +20,7 @@ from adloom.functions.urls import absolute_url, canonical_url, id_from_html_url,
 from adloom.schema import ADS_COLUMNS
 from adloom.session import spread
 from adloom.sources import pagetree
-from adloom.sources.pagetree import read_fields, read_links
+from adloom.sources.pagetree import PARTS, read_fields, read_links
 
 # Executors need not have this package installed: the helper travels with the function.
 register_pickle_by_value(pagetree)
@@ -74,6 +74,8 @@ LINKS_TYPE = (
 _TEXT = pa.string()
 _TEXTS = pa.map_(_TEXT, _TEXT)
 _MAPS = ("after_h1", "labels", "cards", "blocks")
+# What the fields of each layout are taken from.
+LAYOUT_PARTS = {"list": ("title", "after_h1", "labels", "described", "blocks"), "card": ("title", "after_h1", "cards", "blocks")}
 _PAGE = pa.struct(
     {
         "title": _TEXT,
@@ -113,14 +115,18 @@ def _per_page(read: Callable[[str], dict], arrow: pa.DataType, spark_type: str)
     return F.arrow_udf(pages, returnType=spark_type).asNondeterministic()
 
 
-def parse(html: Column, labels: Sequence[str] = ()) -> Column:
-    """The parts of a page that make up an ad; `labels` names labels beyond the known ones."""
+def parse(html: Column, labels: Sequence[str] = (), wanted: Collection[str] = PARTS) -> Column:
+    """The parts of a page that make up an ad, of which only `wanted` ones are worked out.
+
+    `labels` names labels beyond the known ones.
+    """
+    asked = frozenset(wanted)
     known = [*ALL_LABELS, *labels]
     selectors = frozenset([*LOCATION_BLOCKS, *DESCRIPTION_BLOCKS, CARD_DESCRIPTION])
 
     def read(text):
-        page = read_fields(text, known, CARD_VALUES, selectors)
-        return {**page, **{m: list(page[m].items()) for m in _MAPS}}
+        page = read_fields(text, known, CARD_VALUES, selectors, asked)
+        return {**page, **{m: list(page[m].items()) for m in _MAPS if m in page}}
 
     return _per_page(read, _PAGE, PAGE_TYPE)(html)
 
@@ -185,7 +191,7 @@ def extract_ads(
     title. A page of an error has a title and is kept, as `clean_errors` deals with those.
     """
     page = F.col("_page")
-    parsed = spread(pages.select(*keep, "url", "html")).select(*keep, "url", parse(F.col("html")).alias("_page"))
+    parsed = spread(pages.select(*keep, "url", "html")).select(*keep, "url", parse(F.col("html"), wanted=LAYOUT_PARTS[layout]).alias("_page"))
     fields = _list_fields(page) if layout == "list" else _card_fields(page)
     ads = parsed.select(
         *keep,
@@ -207,14 +213,14 @@ def extract_ads(
 
 def extract_labels(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """The labels of each page with their values, one row per label that has one."""
-    parsed = spread(pages.select(key, html)).select(key, parse(F.col(html)).alias("_page"))
+    parsed = spread(pages.select(key, html)).select(key, parse(F.col(html), wanted=["labels"]).alias("_page"))
     return parsed.select(key, F.explode("_page.labels").alias("label", "value"))
 
 
 def label_fallback(pages: DataFrame, key: str, fields: Mapping[str, Sequence[str]], html: str = "html") -> DataFrame:
     """One column per field with the first filled value of its labels."""
     extra = [n for names in fields.values() for n in names if n not in ALL_LABELS]
-    parsed = spread(pages.select(key, html)).select(key, parse(F.col(html), extra).alias("_page"))
+    parsed = spread(pages.select(key, html)).select(key, parse(F.col(html), extra, ["labels"]).alias("_page"))
     return parsed.select(key, *[any_label(F.col("_page.labels"), names).alias(f) for f, names in fields.items()])
 
 

@@ -213,25 +213,31 @@ def _elements(html):
     return list(tree.root.elements())
 
 
-def read_fields(html, labels, cards, selectors):
-    """The parts of one page that make up an ad; see `PAGE_TYPE` in `pages.py` for their shape."""
+PARTS = frozenset({"title", "after_h1", "labels", "cards", "described", "blocks"})
+
+
+def read_fields(html, labels, cards, selectors, wanted=PARTS):
+    """The wanted parts of one page that make up an ad; see `PAGE_TYPE` in `pages.py` for their shape."""
     elements = _elements(html)
-    headings = [e for e in elements if e.tag == "h1"]
-    after_h1 = {}
-    for e in (next(h.siblings_after(), None) for h in headings):
-        if e is not None and e.tag not in after_h1:
-            after_h1[e.tag] = shown_text(e)
-    beside, carded = _beside(elements, labels, cards)
-    titles = (e for e in elements if e.tag == "h3" and plain_text(e) == "Description")
-    block = next((b for b in (next(t.siblings_after(), None) for t in titles) if b is not None), None)
-    return {
-        "title": shown_text(headings[0]) if headings else None,
-        "after_h1": after_h1,
-        "labels": _labelled(elements, labels, beside),
-        "cards": carded,
-        "described": _flat(block) if block is not None else None,
-        "blocks": _picked(elements, selectors),
-    }
+    page = {}
+    if wanted & {"title", "after_h1"}:
+        headings = [e for e in elements if e.tag == "h1"]
+        page["title"] = shown_text(headings[0]) if headings else None
+        page["after_h1"] = {}
+        if "after_h1" in wanted:
+            for e in (next(h.siblings_after(), None) for h in headings):
+                if e is not None:
+                    page["after_h1"].setdefault(e.tag, shown_text(e))
+    if wanted & {"labels", "cards"}:
+        beside, page["cards"] = _beside(elements, labels, cards)
+        page["labels"] = _labelled(elements, labels, beside) if "labels" in wanted else {}
+    if "described" in wanted:
+        titles = (e for e in elements if e.tag == "h3" and plain_text(e) == "Description")
+        block = next((b for b in (next(t.siblings_after(), None) for t in titles) if b is not None), None)
+        page["described"] = _flat(block) if block is not None else None
+    if "blocks" in wanted:
+        page["blocks"] = _picked(elements, selectors)
+    return page
 
 
 def read_links(html, marker):
