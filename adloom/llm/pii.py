@@ -180,14 +180,12 @@ def mentions(docs: DataFrame) -> DataFrame:
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in slices:
-            out = [
-                (doc, print_, kind, value)
-                for doc, print_, text in zip(part["doc_id"], part["print"], part["text"], strict=True)
-                for kind, value in dict.fromkeys((kind, value) for _, _, kind, value in entities(text))
-            ]
-            yield dict(zip(("doc_id", "print", "kind", "value"), map(list, zip(*out, strict=True)), strict=True)) if out else {
-                name: [] for name in ("doc_id", "print", "kind", "value")
-            }
+            out: dict[str, list] = {"doc_id": [], "print": [], "kind": [], "value": []}
+            for doc, made, text in zip(part["doc_id"], part["print"], part["text"], strict=True):
+                for kind, value in dict.fromkeys((kind, value) for _, _, kind, value in entities(text)):
+                    for name, v in zip(out, (doc, made, kind, value), strict=True):
+                        out[name].append(v)
+            yield out
 
     likely = docs.filter(_likely(F.col("text"))).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text"

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,13 +14,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 # Fixed value: a word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-# Fixed value: letters A to Z become small, all others stay.
-LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
-
-#: Rows that are held as Python objects at once.
+#: Rows that a Python worker is sent, and holds as objects, at once. Texts may be long.
 ROWS = 256
 
 
+def small_batches() -> None:
+    """Let the session send Python workers at most `ROWS` rows at once; a smaller setting stays."""
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark and not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, ROWS)
+
+
 def words(text: str | None) -> list[str]:
     """The words of a text; none for null."""
     return WORD.findall(text) if text else []
@@ -32,6 +36,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
     `rows` gets an iterator of dicts (column name to list of values) and yields dicts of the columns of `schema`.
     One iterator goes over one partition, so the function can keep what the rows of a partition share.
     """
+    small_batches()
     out = T._parse_datatype_string(schema)
     arrow, names = to_arrow_schema(out), list(df.columns)
 
@@ -50,6 +55,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
 
 def text_struct(column, schema: str, fields: Callable[[str | None], tuple]):
     """A struct column worked out from one text at a time; `fields` gives the values in the order of `schema`."""
+    small_batches()
     out = T._parse_datatype_string(schema)
     arrow = pa.struct(list(to_arrow_schema(out)))
 
