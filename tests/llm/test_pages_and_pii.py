@@ -70,6 +70,24 @@ def test_site_templates(spark):
     assert extract_text(df.limit(0)).collect() == []
 
 
+def test_all_main_elements_are_read():
+    assert text_of("<main><p>a</p><div role=main>b</div></main><p>out</p><div role=main>c</div>") == ["a", "b", "c"]
+
+
+def test_copies_are_no_template(spark):
+    body = "<div class=body><div>said</div><ul><li>one</li></ul><table><tr><td>two</td></tr></table></div>"
+    copy = f"<div>site</div><article><h1>title</h1>{body}</article>"
+    rows = [(f"http://h.org/{k}", copy) for k in range(40)]
+    rows += [(f"http://h.org/n{k}", f"<div>site</div><article><h1>title {k}</h1>{body}</article>") for k in range(12)]
+    rows += [(f"http://h.org/o{k}", f"<div>site</div><div>own {k}</div>") for k in range(12)]
+    rows += [(f"http://h.org/p{k}", "<div>site</div><div>plain copy</div>") for k in range(40)]
+    got = extract_text(spark.createDataFrame(rows, "url string, html string"))
+    for r in got.collect():
+        end = r.url.removeprefix("http://h.org/")
+        title = {"n": f"title {end[1:]}", "o": f"own {end[1:]}", "p": "plain copy"}.get(end[0], "title")
+        assert r.text.split("\n\n") == [title, *(["said", "one", "two"] if end[0] not in "op" else [])]
+
+
 TEXT = (
     "Mr. John Smith wrote to Mrs Smith and Herr Müller: Bob.X@Mail.co.uk, +1 (988) 555-2485, 988-555-2485, 42.144.35.254, "
     "4111 1111 1111 1111, 4785380592391139, DE89 3704 0044 0532 0130 00, 123-45-6789, Госпожа Анна Иванова, Κύριος Νίκος"
