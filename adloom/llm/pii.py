@@ -49,6 +49,7 @@ KINDS = {
     "name": rf"(?<!\w)(?:{_ADDRESSED})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()))
+_OTHERS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items() if kind != "card"))
 
 #: What a text with personal data certainly holds, for a first look without Python.
 HINT = rf"@|\d[\d .()-]{{5,}}\d|[A-Z]{{2}}\d{{2}}|(?:{_ADDRESSED})"
@@ -66,27 +67,62 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
 
 
+def card_in(said: str, seen: int = 0) -> tuple[int, int] | None:
+    """Where the longest card of some successive groups of digits lies, the first of equally long ones.
+
+    Groups that end at `seen` or before are known to be none.
+    """
+    groups = [g.span() for g in re.finditer(r"\d+", said)]
+    best, most = None, 12
+    for k, (start, _) in enumerate(groups):
+        digits = ""
+        for low, high in groups[k:]:
+            digits += said[low:high]
+            if high > seen and most < len(digits) <= 19 and not luhn(digits) % 10:
+                best, most = (start, high), len(digits)
+    return best
+
+
+def _places(text: str) -> Iterator[tuple[str, int, int]]:
+    """Kind, start and end of what the patterns find, cards with a right checksum only.
+
+    Where a run of digits is no card as a whole, another kind at its start goes first, then a card of some of its groups;
+    without either the search goes on at the next character.
+    """
+    at = seen = 0
+    while m := _ANY.search(text, at):
+        start, at = m.span()
+        card = card_in(m[0], seen - start) if m.lastgroup == "card" else None
+        if m.lastgroup != "card" or card == (0, len(m[0])):
+            yield m.lastgroup, start, at
+        elif other := _OTHERS.match(text, start):
+            yield other.lastgroup, start, (at := other.end())
+        elif card:
+            yield from ((o.lastgroup, *o.span()) for o in _OTHERS.finditer(text, start, start + card[0]))
+            at = start + card[1]
+            yield "card", start + card[0], at
+        else:
+            seen, at = at, start + 1
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and value of each entity; a value is the same however it is written.
 
-    Numbers are cards only with a right checksum. A name has an entity for each of its words, so that `Mr John Smith` and
+    Numbers are cards only with a right checksum, also some groups of a longer number. A name has an entity for each of its words, so that `Mr John Smith` and
     `Mrs Smith` share one: the last word is a family name, the others are given names of the gender of the title.
     """
     found = []
-    for m in _ANY.finditer(text or ""):
-        kind, said = m.lastgroup, m[0]
+    for kind, start, end in _places(text or ""):
+        said = text[start:end]
         if kind == "name":
             title, *names = re.finditer(r"\S+", said)
             gender = _GENDER[title[0].rstrip(".")]
             for k, name in enumerate(names):
                 role = f"given_{gender}" if k < len(names) - 1 else "family"
-                start = m.start() + name.start()
-                found.append((start, start + len(name[0]), role, name[0].lower()))
+                found.append((start + name.start(), start + name.end(), role, name[0].lower()))
             continue
         value = said.lower() if kind in ("email", "ip") else re.sub(r"[^A-Za-z0-9]", "", said)
-        if kind == "card" and luhn(value) % 10:
-            continue
-        found.append((m.start(), m.end(), kind, value))
+        found.append((start, end, kind, value))
     return found
 
 

@@ -103,6 +103,28 @@ def test_entities():
         assert entities(clean) == []
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("4111111111111111 123", ["card 4111111111111111"]),
+        ("4111111111111111 12/26", ["card 4111111111111111"]),
+        ("12 4111111111111111", ["card 4111111111111111"]),
+        ("4111111111111111 5 times", ["card 4111111111111111"]),
+        ("item 12 4111-1111-1111-1111 123", ["card 4111-1111-1111-1111"]),
+        ("123456 12 4111 1111 1111 1111 7", ["card 4111 1111 1111 1111"]),
+        ("1234 5678 9012 3450 4111 1111 1111 1111", ["card 4111 1111 1111 1111"]),
+        ("378282246310005 1234 4222222222222", ["card 378282246310005", "card 4222222222222"]),
+        ("988-555-2485 123-45-6780", ["phone 988-555-2485", "ssn 123-45-6780"]),
+        ("1 123-45-6789 4111111", ["ssn 123-45-6789"]),
+        ("4111111111111112 123", []),
+    ],
+)
+def test_cards_beside_other_numbers(text, found):
+    assert [f"{kind} {text[a:b]}" for a, b, kind, _ in entities(text)] == found
+    made = replaced(text, {(kind, value): surrogate(kind, value, 0, b"k") for *_, kind, value in entities(text)})
+    assert not [x for x in found if x.split(" ", 1)[1] in made]
+
+
 def test_surrogates_keep_type_and_format():
     known = {(kind, value): surrogate(kind, value, 0, b"k") for *_, kind, value in entities(TEXT)}
     made = replaced(TEXT, known)
