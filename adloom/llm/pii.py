@@ -126,6 +126,10 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     return found
 
 
+#: Attempts in a row that keep the format; then there is more room, as all values of a format may be taken.
+NARROW = 8
+
+
 class _Stream:
     """Numbers that depend on a key and a label alone."""
 
@@ -157,16 +161,18 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
 
     Mail addresses keep their last domain label, and equal domains stay equal. Cards keep their first digit, length and
     checksum, IBANs country and checksum, phone numbers their first digit, IPs the length of each part. Names keep
-    script and gender.
+    script and gender. Every `NARROW` attempts there is more room: IPs have parts of any length, social security numbers
+    any first digit, mail addresses and phone numbers one more character; names have one more syllable every four.
     """
     s = _Stream(key, f"{kind}\0{value}\0{attempt}")
+    wide = attempt // NARROW
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, last = domain.rpartition(".")
-        return f"{s.like(local)}@{_Stream(key, f'domain\0{domain}').like(host)}.{last}"
+        return f"{s.like(local + 'a' * wide)}@{_Stream(key, f'domain\0{domain}').like(host)}.{last}"
     if kind == "ip":
         spans = {1: (1, 9), 2: (10, 99), 3: (100, 255)}
-        bounds = [spans[len(part)] for part in value.split(".")]
+        bounds = [(1, 255) if wide else spans[len(part)] for part in value.split(".")]
         return ".".join(str(low + s.below(high - low + 1)) for low, high in bounds)
     if kind == "card":
         body = value[0] + "".join(str(s.below(10)) for _ in value[2:])
@@ -175,8 +181,10 @@ def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
         body = s.like(value[4:])
         number = "".join(str(int(c, 36)) for c in body + value[:2] + "00")
         return f"{value[:2]}{98 - int(number) % 97:02d}{body}"
-    if kind in ("phone", "ssn"):
-        return value[0] + s.like("1" + value[1:])[1:]
+    if kind == "phone":
+        return value[0] + s.like("1" + value[1:] + "0" * wide)[1:]
+    if kind == "ssn":
+        return (str(s.below(10)) if wide else value[0]) + s.like("1" + value[1:])[1:]
     script, gender = script_of(value), kind[6:]
     size = max(1, min(4, (len(value) - 2) // 2)) + attempt // 4
     parts = [SYLLABLES[script][s.below(len(SYLLABLES[script]))] for _ in range(size)]
@@ -190,7 +198,7 @@ def written_like(made: str, said: str) -> str:
     if "@" in said or "." in made:
         return made.upper() if said.isupper() else made
     rest = iter(made)
-    return "".join(next(rest, "") if c.isalnum() else c for c in said)
+    return "".join([*(next(rest, "") if c.isalnum() else c for c in said), *rest])
 
 
 def replaced(text: str | None, known: dict[tuple[str, str], str]) -> str | None:
@@ -233,7 +241,8 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
     """One surrogate for each distinct kind and value: kind, value, surrogate, all different within a kind.
 
     Each round offers a surrogate to all values without one. An offer that is a value of the data itself or taken
-    already is refused; of several values with one offer the smallest gets it. The rest goes on to the next round.
+    already is refused; of several values with one offer the smallest gets it. The rest goes on to the next round, and
+    later rounds have more room, so that it ends however many values of one format there are.
     """
 
     def offers(attempt: int):

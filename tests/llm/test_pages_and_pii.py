@@ -150,6 +150,22 @@ def test_surrogates_never_collide(spark):
     assert surrogates(spark.createDataFrame([], "kind string, value string"), b"k").collect() == []
 
 
+def test_surrogates_of_full_formats(spark):
+    # Every address of four digits, every short phone number with +1 and every local part of two domains is taken.
+    values = [("ip", ".".join(f"{k:04d}")) for k in range(10_000)] + [("phone", f"1{k:04d}") for k in range(10_000)]
+    values += [("email", f"{chr(97 + k)}@{host}.org") for k in range(26) for host in "abcdefghijklmnopqrstuvwxyz"]
+    got = surrogates(spark.createDataFrame(values, "kind string, value string"), b"k").collect()
+    assert {(r.kind, r.value) for r in got} == set(values)
+    assert len(got) == len(values) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(values)
+    for r in got:
+        if r.kind == "ip":
+            assert [(kind, value) for *_, kind, value in entities(r.surrogate)] == [("ip", r.surrogate)]
+    said = "call +1 22-22 or a@x.org from 1.2.3.4"
+    made = replaced(said, {("phone", "12222"): "1345678", ("email", "a@x.org"): "xyz@q.org", ("ip", "1.2.3.4"): "200.1.30.4"})
+    assert made == "call +1 34-5678 or xyz@q.org from 200.1.30.4"
+
+
 def test_pseudonymised(make_docs, texts):
     rows = [*enumerate([*texts, TEXT, "again BOB.X@MAIL.CO.UK"]), (None, TEXT), (1, TEXT), (1, TEXT), (1, "bob.x@mail.co.uk")]
     got = pseudonymised(make_docs(rows).withColumnRenamed("words", "pii")).collect()
