@@ -14,7 +14,7 @@ from adloom.llm.texts import map_rows
 #: A template: the text of some successive turns (role, text) of which the first has the given index.
 Render = Callable[[list[tuple[str, str]], int], str]
 
-#: Turns that are rendered together at most; longer conversations go on in a new run of turns.
+#: Turns that are given out together. Templates that only append are rendered in such runs, too.
 RUN = 64
 
 #: A text no template changes or makes by itself, to see where the text of a turn goes.
@@ -85,7 +85,11 @@ def spans(turns: list[tuple[str, str]], render: Render, start: int = 0) -> Itera
 
 
 def format_conversations(
-    rows: DataFrame, render: Render = marked_turns, trained: str = "assistant", run: int = RUN
+    rows: DataFrame,
+    render: Render = marked_turns,
+    trained: str = "assistant",
+    run: int = RUN,
+    append_only: bool | None = None,
 ) -> DataFrame:
     """One row per turn in order, with the columns of `TURNS`; the `formatted` ones of a conversation make its text.
 
@@ -94,8 +98,12 @@ def format_conversations(
     repeated rows stay and have a fixed order. Null roles and texts are empty, a null conv_id is a conversation of its
     own, no rows give none, other columns are left out.
 
-    Conversations stream through sorted partitions: a task holds `run` turns, however long a conversation is.
+    Conversations stream through sorted partitions. A template gets all turns so far for each turn, so a task holds one
+    conversation. Only one that is `append_only` (what it adds for a turn depends on that turn and its index alone, as
+    with `marked_turns`) is given runs of turns: a task then holds `run` turns, however long a conversation is.
     """
+    if append_only is None:
+        append_only = render is marked_turns
     turns = rows.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
@@ -109,31 +117,32 @@ def format_conversations(
         held: list[tuple] = []
         place = index = 0
 
-        def close(last: bool) -> dict[str, list]:
+        def close(last: bool) -> Iterator[dict[str, list]]:
             nonlocal held, place, index
             out: list[tuple] = []
             parts = spans([(role, text) for _, _, role, text in held], render, index)
-            for (conv, turn, role, _), (added, a, b, rewrites) in zip(held, parts, strict=True):
+            for k, ((conv, turn, role, _), (added, a, b, rewrites)) in enumerate(zip(held, parts, strict=True), 1):
                 a, b = (a, b) if role == trained else (0, 0)
                 end = place + len(added)
-                out.append((conv, turn, role, added, place, end, place + a, place + b, rewrites, False))
+                out.append((conv, turn, role, added, place, end, place + a, place + b, rewrites, last and k == len(held)))
                 place = end
-            out[-1] = (*out[-1][:-1], last)
+                if len(out) == run or k == len(held):
+                    yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
+                    out = []
             index += len(held)
             held = []
             if last:
                 place = index = 0
-            return dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
 
         for part in slices:
             for row in zip(part["conv_id"], part["turn"], part["role"], part["text"], strict=True):
                 if held and held[-1][0] != row[0]:
-                    yield close(True)
-                elif len(held) == run:
-                    yield close(False)
+                    yield from close(True)
+                elif append_only and len(held) == run:
+                    yield from close(False)
                 held.append(row)
         if held:
-            yield close(True)
+            yield from close(True)
 
     return map_rows(dealt, TURNS, formatted)
 

@@ -77,6 +77,29 @@ def test_conversations(spark):
     assert format_conversations(df.limit(0)).collect() == []
 
 
+def test_long_conversations_of_templates_that_look_back(spark):
+    def last_only(turns, start):
+        return "".join(f"[{r}]{t if k == len(turns) - 1 else '-'}" for k, (r, t) in enumerate(turns))
+
+    def first_named(turns, start):
+        return "".join(f"[{r} of {len(turns[0][1])}]{t}" for r, t in turns)
+
+    by = {n: [(("user", "assistant")[t % 2], f"turn {t}") for t in range(n)] for n in (3, 64, 65, 500)}
+    rows = [(n, t, role, text) for n, turns in by.items() for t, (role, text) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for render in (last_only, first_named):
+        got = format_conversations(df, render).orderBy("conv_id", "turn").collect()
+        for n, turns in by.items():
+            mine, at = [r for r in got if r.conv_id == n], 0
+            for r, (role, _), (added, a, b, rewrites) in zip(mine, turns, spans(turns, render), strict=True):
+                a, b = (a, b) if role == "assistant" else (0, 0)
+                assert (r.formatted, r.loss_start, r.loss_end, r.rewrites) == (added, at + a, at + b, rewrites)
+                at += len(added)
+            assert [r.last for r in mine] == [False] * (n - 1) + [True]
+            if render is last_only:
+                assert [r.rewrites for r in mine] == [False] + [True] * (n - 1)
+
+
 def test_chat_query_without_conversations(spark, tmp_path):
     spark.createDataFrame([], TURNS).write.parquet(f"{tmp_path}/conversations.parquet")
     (row,) = chat_query(spark, str(tmp_path)).collect()
