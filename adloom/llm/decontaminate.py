@@ -113,15 +113,15 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
 
 
 def document_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
-    """The seeds of documents that the filter lets through: id, words, pos, seed, hash, around."""
+    """The seeds of documents that the filter lets through: id, words, pos, seed, hash, around, print (a hash of the text)."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        names = [f.split()[0] for f in _ROWS.split(", ")]
+        names = [f.split()[0] for f in schema.split(", ")]
         known = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
         for part in slices:
             out = []
-            for doc, text in zip(part["doc_id"], part["text"], strict=True):
+            for doc, made_of, text in zip(part["doc_id"], part["print"], part["text"], strict=True):
                 hashes = word_hashes(text)
                 for seed in range(len(SEEDS)):
                     made = seed_hashes(hashes, seed)
@@ -129,18 +129,19 @@ def document_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
                     some = np.flatnonzero(known[first])
                     for pos in some[known[second[some]]].tolist():
                         made_here = int(made[pos : pos + 1].view(np.int64)[0])
-                        out.append((doc, len(hashes), pos, seed, made_here, _around(hashes, pos)))
+                        out.append((doc, len(hashes), pos, seed, made_here, _around(hashes, pos), made_of))
             yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names}
 
-    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_rows(rows_of, _ROWS, rows)
+    schema = f"{_ROWS}, print long"
+    rows_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
+    return map_rows(rows_of, schema, rows)
 
 
-OVERLAPS = "doc_id long, item_id long, start long, length int"
+OVERLAPS = "doc_id long, print long, item_id long, start long, length int"
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Windows of documents that agree with a window of an item: doc_id, item_id, start (in words), length.
+    """Windows of documents that agree with a window of an item: doc_id, print (of the text), item_id, start (in words), length.
 
     Only seeds that the filter lets through are written and dealt out to meet those of the items, so what moves follows
     the passages there are. A seed carries the words around it, and the windows it lies in are verified from those.
@@ -150,6 +151,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = met.select(
         "seed",
         F.col("d.id").alias("doc_id"),
+        F.col("d.print").alias("print"),
         F.col("d.pos").alias("pos"),
         F.col("d.words").alias("long"),
         F.col("d.around").alias("here"),
@@ -163,7 +165,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in OVERLAPS.split(", ")]
         for part in slices:
             out = []
-            for seed, doc, pos, long, here, item, at, words, there in zip(*part.values(), strict=True):
+            for seed, doc, made_of, pos, long, here, item, at, words, there in zip(*part.values(), strict=True):
                 size = min(WINDOW, words)
                 least = LEAST if words >= WINDOW else words
                 equal = np.concatenate(([0], np.cumsum(np.equal(here, there))))
@@ -171,7 +173,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     low = WINDOW - 1 - back
                     whole = 0 <= at - back <= words - size and 0 <= pos - back <= long - size
                     if whole and equal[low + size] - equal[low] >= least:
-                        out.append((doc, item, pos - back, size))
+                        out.append((doc, made_of, item, pos - back, size))
             yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names}
 
     return map_rows(met, OVERLAPS, rows).distinct()
@@ -192,10 +194,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return items.join(covered.withColumnRenamed("doc_id", "_id"), same).select("doc_id", "items", "covered_words")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold benchmark passages; all columns stay."""
-    bad = contamination(docs, benchmark).select(F.col("doc_id").alias("_id"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+def clean_documents(docs: DataFrame, benchmark: DataFrame, by_text: bool = False) -> DataFrame:
+    """The documents without those that hold benchmark passages; all columns stay.
+
+    Rows without a doc_id are judged by their own text each. Rows that share one are judged together, but `by_text` each
+    by its own text, too.
+    """
+    found = materialize(overlaps(docs, benchmark), "overlaps")
+    bad = found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_print"))
+    left = docs.join(bad, same, "left_anti")
+    if by_text:
+        return left
+    named = bad.select("_id").distinct()
+    return left.join(named, docs["doc_id"] == F.col("_id"), "left_anti")
 
 
 def contamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:

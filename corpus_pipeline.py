@@ -31,8 +31,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
-    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without passages of the benchmark, each row judged by its own text."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_text=True)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

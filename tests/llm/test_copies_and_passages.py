@@ -155,6 +155,20 @@ def test_contamination_of_nothing(spark, make_docs):
     assert [r.doc_id for r in clean_documents(twice, some).collect()] == [2]
 
 
+def test_clean_rows_stay_whatever_their_doc_id(spark, make_docs):
+    benchmark = spark.createDataFrame(ITEMS[:1], "item_id long, text string").selectExpr("*", "1 as print")
+    bad = ITEMS[0][1]
+    rows = [(None, bad), (None, bad), *[(None, f"clean {k}") for k in range(20)], (None, None), (1, bad), (1, "clean"), (2, bad)]
+    rows += [(1, None), (3, "clean"), (3, "clean"), (4, None)]
+    docs = make_docs(rows)
+    want = [r for r in rows if r[1] != bad]
+    left = clean_documents(docs, benchmark, by_text=True)
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, want))
+    left = clean_documents(docs, benchmark)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(str(r) for r in want if r[0] != 1)
+
+
 def test_seeds_are_lossless():
     for a in range(WINDOW):
         for b in range(WINDOW):
