@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -21,8 +23,6 @@ from adloom.session import materialize, spread
 #: Shards of every piece length in which pieces are numbered; a length may be that of most pieces.
 SHARDS = 64
 
-_WIDE = re.compile(r" (?=\s|$)")
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -96,71 +96,67 @@ def slots(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, with a memory of words of a bounded size.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, the ids being those of the `tokenizers` library.
 
-    The vocabulary splits a text before a space that a visible character follows, whatever stands around, so the parts
-    between such spaces are encoded apart and most of them need not be encoded again. A part of letters only is one
-    unit of the vocabulary and goes to its merges at once; one that ends in a full stop or comma after letters is put
-    together from the two.
+    A byte-level vocabulary whose merges are numbered in their order says by the number of a token which merge comes
+    first, so `tiktoken` gives the same ids in a quarter of the time; tests compare the two over all code points. Texts
+    with a control token of the vocabulary, and vocabularies of another kind, go through `tokenizers` itself. Nothing is
+    remembered from text to text.
     """
 
-    KEPT = 500_000
+    # Fixed value: how a byte-level vocabulary cuts a text before it merges.
+    CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.marks = {mark: self._encode([mark])[0] for mark in ".,"}
-        # The vocabulary's own letters for bytes: visible ones stay, all others follow from 256 on.
-        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in set(visible)]
-        self.letters = {b: 256 + k for k, b in enumerate(hidden)}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [_packed(x.ids) for x in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-
-    def _merge(self, word: str) -> bytes:
-        letters = f" {word}".encode().decode("latin-1").translate(self.letters)
-        return _packed([x.id for x in self.tokenizer.model.tokenize(letters)])
-
-    @staticmethod
-    def parts(text: str) -> list[str]:
-        """The text cut at each space that a visible character follows; the first part is marked by a space before it."""
-        out = text.split(" ")
-        if _WIDE.search(text):
-            runs, out = out, out[:1]
-            for part in runs[1:]:
-                if part and not part[0].isspace():
-                    out.append(part)
-                else:
-                    out[-1] += " " + part
-        out[0] = " " + out[0]
-        return out
+        self.plain = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            found = json.load(file)
+        special = [x["content"] for x in found.get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.fast = None
+        if _in_merge_order(found):
+            ranks = {_bytes_of(x): k for x, k in found["model"]["vocab"].items() if x not in special}
+            self.fast = tiktoken.Encoding(path, pat_str=self.CUT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        known, cut = self.known, [self.parts(x) for x in texts]
-        if len(known) > self.KEPT:
-            known.clear()
-        other = []
-        for x in set().union(*cut).difference(known):
-            if x.isalpha():
-                known[x] = self._merge(x)
-            elif x[-1:] in self.marks and x[:-1].isalpha():
-                stem = known.get(x[:-1])
-                if stem is None:
-                    stem = known[x[:-1]] = self._merge(x[:-1])
-                known[x] = stem + self.marks[x[-1]]
-            else:
-                other.append(x)
-        whole = [x[1:] if x[0] == " " else " " + x for x in other]
-        known.update(zip(other, self._encode(whole), strict=True))
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        fast, special = self.fast, self.special
+        if fast is None:
+            return [_packed(x.ids) for x in self.plain.encode_batch(texts, add_special_tokens=False)]
+        return [
+            _packed(
+                self.plain.encode(x, add_special_tokens=False).ids if special.search(x) else fast.encode_ordinary(x)
+            )
+            for x in texts
+        ]
+
+
+def _in_merge_order(found: dict) -> bool:
+    """Whether a vocabulary file is byte-level and no more, with tokens numbered as their merges come."""
+    model, before = found["model"], found.get("pre_tokenizer") or {}
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if model.get("type", "BPE") != "BPE" or not byte_level or found.get("normalizer") or any(map(model.get, options)):
+        return False
+    made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    return all(a < b for a, b in pairwise(made))
+
+
+def _bytes_of(token: str) -> bytes:
+    """A token of a byte-level vocabulary as bytes: visible letters stay, all others follow from 256 on."""
+    return bytes(map(_LETTERS.__getitem__, token))
+
+
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {chr(b): b for b in _VISIBLE}
+_LETTERS |= {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)).difference(_VISIBLE)))}
 
 
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return np.array(ids, "<u4").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -152,3 +152,37 @@ def test_packing_nothing_and_null_ids(make_docs):
     assert packed_documents(make_docs([])).collect() == []
     rows = packed_documents(make_docs([(None, None), (None, "a"), (None, "a")])).collect()
     assert sorted(r.length for r in rows) == [1, 2, 2] and len(gapless(rows, 1024)) == 1
+
+
+def test_ids_are_those_of_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    from adloom.llm.packing import Encoder
+
+    plain, made = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    assert made.fast is not None
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x32400), *range(0xE0000, 0xE0200)]]
+    every = [f"a{c}1 {c}.{c}" for c in points]
+    runs = [x * 30_000 for x in ("a", " ", "\n", " \t", "#", "1", "ab ", "字")]
+    special = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext", ""]
+    for k in range(0, len(every), 50_000):
+        part = every[k : k + 50_000] + (runs + special if k == 0 else [])
+        want = [np.array(x.ids, "<u4").tobytes() for x in plain.encode_batch(part, add_special_tokens=False)]
+        assert made.encode(part) == want
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from adloom.llm.packing import Encoder
+
+    found = json.load(open(VOCABULARY, encoding="utf-8"))
+    found["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "prefixed.json"
+    path.write_text(json.dumps(found), encoding="utf-8")
+    made, plain = Encoder(str(path)), Tokenizer.from_file(str(path))
+    assert made.fast is None
+    ids = plain.encode("two words", add_special_tokens=False).ids
+    assert made.encode(["two words", ""]) == [np.array(ids, "<u4").tobytes(), b""]
