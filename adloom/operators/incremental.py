@@ -125,7 +125,7 @@ def budget_cut(
     links: DataFrame,
     budget: int | Column,
     by: Sequence[str] = (),
-    pos: str = "pos",
+    pos: str | Sequence[Column] = "pos",
     width: int = SLAB_WIDTH,
 ) -> DataFrame:
     """The first `budget` rows in position order, overall or of each group in `by`.

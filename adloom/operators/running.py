@@ -43,7 +43,7 @@ def cut(df: DataFrame, by: Sequence[str], pos: str, width: int = SLAB_WIDTH) ->
 def running_totals(
     df: DataFrame,
     by: Sequence[str],
-    pos: str,
+    pos: str | Sequence[Column],
     sums: Mapping[str, Column],
     totals: Mapping[str, str] | None = None,
     width: int = SLAB_WIDTH,
@@ -51,7 +51,8 @@ def running_totals(
     """Add running sums in position order within each group, the current row included.
 
     Nulls add nothing. `totals` maps names in `sums` to columns that get the sum over the whole group.
-    Positions should be dense, like row numbers: a slab of them is what a task takes.
+    Positions should be dense, like row numbers: a slab of them is what a task takes. `operators.ordering` takes any order;
+    it gives tables with `_slab` and the order as columns.
     """
     keys = [*by, "_slab"]
     rows = cut(df, by, pos, width)

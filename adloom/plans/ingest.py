@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from adloom.functions.urls import id_from_url
 from adloom.operators import incremental as inc
 from adloom.operators.crawl import before_stop, fingerprint, first_stops
+from adloom.operators.ordering import first_rows
 from adloom.operators.shape import align
 from adloom.operators.validity import stored_count, without_errors
 from adloom.session import materialize
@@ -29,19 +30,24 @@ PAGE = ["crawl_id", "page_num"]
 ORDER_IN_PAGE = 1_000_000
 
 
-def page_log(links: DataFrame) -> DataFrame:
+def page_log(links: DataFrame, compared: int | None = None) -> DataFrame:
     """One row per listing page: number of links and a digest of all their ids, null on a page without any.
 
-    What is gathered is one fetched page at a time.
+    `compared` takes the first so many ids of a page only. What is gathered is one fetched page at a time.
     """
     ids = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))))
     paged = links.groupBy(*PAGE).agg(F.count("id").alias("n_links"), ids.alias("_ids"))
-    return paged.select(*PAGE, "n_links", F.when(F.col("n_links") > 0, fingerprint(F.col("_ids.id"))).alias("fp"))
+    return paged.select(*PAGE, "n_links", F.when(F.col("n_links") > 0, fingerprint(F.col("_ids.id"), compared)).alias("fp"))
 
 
-def reached(links: DataFrame, cap: int | None = None, detect_loops: bool = True) -> DataFrame:
-    """The links on pages that their crawl gets to; they meet one row per crawl that tells where it ends."""
-    log = page_log(links)
+def reached(
+    links: DataFrame, cap: int | None = None, detect_loops: bool = True, compared: int | None = None
+) -> DataFrame:
+    """The links on pages that their crawl gets to; they meet one row per crawl that tells where it ends.
+
+    A page repeats the one before it if all their identifiers agree, or the first `compared` of them.
+    """
+    log = page_log(links, compared)
     if not detect_loops:
         log = log.withColumn("fp", F.lit(None).cast("string"))
     return before_stop(links.filter("id IS NOT NULL"), first_stops(log), cap)
@@ -74,7 +80,8 @@ def _ads_of(new: DataFrame, fetched: DataFrame, stored: DataFrame, target: int |
     ads = titled.join(new.select("pos", "url"), "url")
     if target is None:
         return ads
-    return inc.budget_cut(materialize(ads, "new-ads"), inc.remaining(target, stored))
+    # Positions of links may be sparse, so ranges of them are found from a sample.
+    return first_rows(materialize(ads, "new-ads"), inc.remaining(target, stored), ["pos"])
 
 
 def ingest_by_title(
@@ -109,17 +116,20 @@ def ingest(
     target: int | Column | None = None,
     now: Column | None = None,
     ident: Callable[[Column], Column] = id_from_url,
+    cap: int | None = None,
+    compared: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """A whole run: listing pages to links, links to new ones, their pages to ads, and the ads appended.
 
     `listings` has page_id (order of the pages over all crawls), crawl_id, page_num and html; `pages` has url and html of
-    what could be fetched. Returns the table after the run and its totals, both of links on pages that a crawl gets to.
+    what could be fetched. `cap` is the last page of a crawl that is looked at, `compared` the number of identifiers by which
+    pages are told to repeat (all, if None). Returns the table after the run and its totals, both of links on pages that a crawl gets to.
     """
     found = listing_links(listings, host).select("page_id", "ord", "url", "title")
     order = F.col("page_id") * ORDER_IN_PAGE + F.col("ord")
     links = listings.select("page_id", "crawl_id", "page_num").join(found, "page_id", "left")
     links = links.select(*PAGE, order.alias("pos"), ident(F.col("url")).alias("id"), "url", "title")
-    found = materialize(reached(materialize(links, "links")), "reached")
+    found = materialize(reached(materialize(links, "links"), cap, compared=compared), "reached")
     new = materialize(inc.accepted(found, inc.stored_ids(stored, ident), "id"), "new-links")
     ads = materialize(_ads_of(new, load(new, pages, now=now), stored, target), "ads")
     return align(stored).unionByName(align(ads)), inc.crawl_summary(stored, found, ads)

@@ -275,3 +275,26 @@ def test_common_format(spark, make_ads):
     assert both.groupBy("source").count().orderBy("source").collect() == [("a", 4), ("b", 1)]
     assert [r["id"] for r in sample_head(ads).collect()] == ["1", "2", "3"]
     assert stamp_rows(ads, F.lit("2024-01-02 03:04:05").cast("timestamp")).first()["scraped_at"] == "2024-01-02 03:04:05"
+
+
+def test_a_run_to_a_target_a_cap_and_by_first_ids(spark, make_ads):
+    """Links are numbered with gaps of a million between pages; the target counts ads that could be fetched."""
+    html = "".join(f"<a data-q='search-result-anchor' href='/job/{{}}{k}'><h3>t</h3></a>" for k in range(3))
+    tail = "<a data-q='search-result-anchor' href='/job/{}'><h3>t</h3></a>"
+    listings = [(10, "c", 1, html.replace("{}", "a")), (20, "c", 2, html.replace("{}", "b")),
+                (30, "c", 3, html.replace("{}", "b") + tail.format("z")), (40, "c", 4, html.replace("{}", "d"))]
+    listings = spark.createDataFrame(listings, "page_id long, crawl_id string, page_num long, html string")
+    urls = [f"https://h.example/job/{p}{k}" for p in "abd" for k in range(3)] + ["https://h.example/job/z"]
+    pages = spark.createDataFrame([(u, f"<h1>{u[-2:]}</h1>") for u in urls if u[-2:] != "a1"], "url string, html string")
+    stored = make_ads([{"id": "old", "url": "https://h.example/job/old", "title": "old"}])
+
+    def added(**options):
+        after, totals = ingest(listings, pages, stored, "https://h.example", **options)
+        return sorted(r["id"] for r in after.select("id").collect()), totals.first()
+
+    assert added()[0] == sorted(["old", "a0", "a2", "b0", "b1", "b2", "z", "d0", "d1", "d2"])
+    ids, totals = added(target=5)
+    assert ids == sorted(["old", "a0", "a2", "b0", "b1"]) and (totals["new"], totals["total_after"]) == (4, 5)
+    assert added(cap=1)[0] == sorted(["old", "a0", "a2"])
+    assert added(compared=3)[0] == sorted(["old", "a0", "a2", "b0", "b1", "b2"])
+    assert added(target=1)[0] == ["old"]
