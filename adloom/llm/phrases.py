@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -52,7 +53,8 @@ SLOTS = 64
 #: Most bits of a filter: 16 MB.
 FILTER_BITS = 27
 
-COUNTED = "lang string, w1 string, w2 string, w3 string, n long"
+#: Runs travel as narrow rows: the words of a phrase and, behind the last space that is not its own, its lang.
+COUNTED = "key string, n long"
 
 
 class Node:
@@ -195,8 +197,8 @@ class Filter:
 
 
 def filter_of(phrases: DataFrame, words: list[str]) -> Filter:
-    """The filter of a table of phrases, about sixteen bits for each, within the bound."""
-    bits = min(max((16 * phrases.count()).bit_length(), 15), FILTER_BITS)
+    """The filter of a table of phrases, 32 bits or more for each, within the bound."""
+    bits = min(max((32 * phrases.count()).bit_length(), 15), FILTER_BITS)
     at = _place_column(words).bitwiseAND(F.lit((1 << bits) - 1))
     maps = phrases.select(F.shiftright(at, 15).alias("number"), at.bitwiseAND(F.lit(32767)).alias("bit"))
     return Filter(bits, maps.groupBy("number").agg(F.bitmap_construct_agg("bit")).collect())
@@ -244,14 +246,15 @@ def _run(lang: str, depth: int, words: list[bytes], keys: np.ndarray, counts: np
     ranked = ranks[places].reshape(depth, -1)
     by = np.lexsort(ranked[::-1])
     texts = pa.array([named[i] for i in order], pa.string())
-    out = [pa.array([lang] * len(keys), pa.string())]
-    out += [texts.take(pa.array(r[by])) for r in ranked]
-    out += [pa.nulls(len(keys), pa.string())] * (3 - depth)
-    return pa.RecordBatch.from_arrays([*out, pa.array(counts[by])], schema=schema)
+    key = pc.binary_join_element_wise(*[texts.take(pa.array(r[by])) for r in ranked], lang, " ")
+    return pa.RecordBatch.from_arrays([key, pa.array(counts[by])], schema=schema)
 
 
 def counted(docs: DataFrame, depth: int, words: Filter | None = None, pairs: Filter | None = None) -> DataFrame:
-    """Phrases of `depth` words of documents (lang, text as bytes) with partial counts, and all words of each lang."""
+    """Phrases of `depth` words of documents (lang, text as bytes) with partial counts.
+
+    Among words there is, with nothing as word, how many of them each lang has.
+    """
     small_batches()
     out = T._parse_datatype_string(COUNTED)
     schema = to_arrow_schema(out)
@@ -293,21 +296,24 @@ def counted(docs: DataFrame, depth: int, words: Filter | None = None, pairs: Fil
             yield from count(lang)
         yield from spilled(0)
         if depth == 1 and totals:
-            nothing = pa.nulls(len(totals), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(totals), pa.string()), nothing, nothing, nothing, pa.array(list(totals.values()), pa.int64())],
-                schema=schema,
-            )
+            keys = pa.array([" " + lang for lang in totals], pa.string())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(list(totals.values()), pa.int64())], schema=schema)
 
     return docs.mapInArrow(run, out)
 
 
-def merged(runs: DataFrame, least: int) -> DataFrame:
-    """Whole counts of phrases from their runs, those of at least `least`, and of the words of each lang (`w1` null)."""
-    keys = ["lang", "w1", "_slot"]
-    runs = runs.withColumn("_slot", F.pmod(F.xxhash64("w2", "w3"), F.lit(SLOTS)))
-    whole = runs.repartition(*keys).groupBy(*keys, "w2", "w3").agg(F.sum("n").alias("n"))
-    return whole.filter((F.col("n") >= least) | F.col("w1").isNull()).drop("_slot")
+def merged(runs: DataFrame, depth: int, least: int) -> DataFrame:
+    """Whole counts of phrases of `depth` words from their runs, those of at least `least`: lang, w1 and so on, n.
+
+    The number of words of each lang is there with `w1` null.
+    """
+    runs = runs.repartition(F.substring_index("key", " ", 1), F.pmod(F.xxhash64("key"), F.lit(SLOTS)))
+    prefix, slot = F.substring_index("key", " ", 1).alias("_prefix"), F.pmod(F.xxhash64("key"), F.lit(SLOTS)).alias("_slot")
+    whole = runs.select("key", "n", prefix, slot).groupBy("_prefix", "_slot", "key").agg(F.sum("n").alias("n"))
+    whole = whole.filter((F.col("n") >= least) | F.col("key").startswith(" "))
+    parts = F.split("key", " ", depth + 1)
+    words = [F.nullif(parts[k], F.lit("")).alias(f"w{k + 1}") for k in range(depth)]
+    return whole.select(parts[depth].alias("lang"), *words, "n")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "text") -> list[DataFrame]:
@@ -317,12 +323,12 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str
     """
     whole = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     whole = spread(whole)
-    tables = [materialize(merged(counted(whole, 1), least), "words")]
+    tables = [materialize(merged(counted(whole, 1), 1, least), "words")]
     words = filter_of(tables[0].filter("w1 IS NOT NULL"), ["w1"])
-    tables.append(materialize(merged(counted(whole, 2, words), least), "pairs"))
+    tables.append(materialize(merged(counted(whole, 2, words), 2, least), "pairs"))
     if longest > 2:
         pairs = filter_of(tables[1], ["w1", "w2"])
-        tables.append(materialize(merged(counted(whole, 3, words, pairs), least), "triples"))
+        tables.append(materialize(merged(counted(whole, 3, words, pairs), 3, least), "triples"))
     return tables
 
 
@@ -368,8 +374,11 @@ def collocations(
         triples = cut.withColumn("_cut", F.least(first, second))
         triples = triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", "_cut.l", "_cut.r", "_cut.score")
         found = found.select(*triples.columns).union(triples)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # The best of each part of a lang first, so that no task is sent a whole lang.
+    parts = found.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(SLOTS)))
+    parts = parts.withColumn("rank", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))).filter(F.col("rank") <= best)
+    ranked = parts.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= best)
     return ranked.join(total, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("words").alias("n"), "score"
     )

@@ -91,19 +91,19 @@ def test_spills_bursts_and_long_texts_change_nothing(spark, rows, monkeypatch):
     for depth in (1, 2, 3):
         got, runs = Counter(), phrases.counted(Plain(), depth)
         for run in runs:
-            lines = [tuple(r.values()) for r in run.to_pylist()]
-            if lines[0][1] is not None:
-                order = [[w.encode() for w in line[1 : depth + 1]] for line in lines]
-                assert order == sorted(order) and len({line[0] for line in lines}) == 1
+            lines = [(*r["key"].split(" ", depth), r["n"]) for r in run.to_pylist()]
+            if lines[0][0]:
+                order = [[w.encode() for w in line[:depth]] for line in lines]
+                assert order == sorted(order) and len({line[depth] for line in lines}) == 1
             for *key, n in lines:
                 got[tuple(key)] += n
         want = Counter()
         for _, text, lang in rows:
             for ws in words_of(text):
                 if depth == 1 and ws:
-                    want["und" if lang is None else lang, None, None, None] += len(ws)
+                    want["", "und" if lang is None else lang] += len(ws)
                 for i in range(len(ws) - depth + 1):
-                    want["und" if lang is None else lang, *ws[i : i + depth], *[None] * (3 - depth)] += 1
+                    want[*ws[i : i + depth], "und" if lang is None else lang] += 1
         assert {k: v for k, v in got.items() if v} == dict(want) and len(runs) > 20
 
 
@@ -140,6 +140,14 @@ def test_filter_keeps_all_and_little_else(spark):
     assert hits[:3000].all() and hits[3000:].mean() < 0.15
 
 
+def test_runs_are_shuffled_once(spark):
+    runs = spark.createDataFrame([("a b en", 3)], phrases.COUNTED)
+    plan = phrases.merged(runs, 2, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    lang = spark.createDataFrame([("a b x  y ", 3), ("a b ", 1)], phrases.COUNTED)
+    assert sorted(map(tuple, phrases.merged(lang, 2, 1).collect())) == [("", "a", "b", 1), ("x  y ", "a", "b", 3)]
+
+
 def test_split():
     assert list(split("A b.C\td\n".encode())) == [[b"a", b"b", b"\xff", b"c", b"d", b"\xff", b"\xff"]]
     assert list(split(b"")) == [] and Filter(15, [])(np.zeros(2, np.uint64)).tolist() == [False, False]
