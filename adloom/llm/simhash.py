@@ -8,7 +8,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +37,20 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id and `fp`, the fingerprint as a signed long. No words give zero."""
+    """doc_id, `print` (a hash of the text, null for null) and `fp`, the fingerprint as a signed long. No words give zero."""
 
     def rows(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for part in slices:
             made = np.array([fingerprint(x, size) for x in part["text"]], np.uint64)
-            yield {"doc_id": part["doc_id"], "fp": made.view(np.int64).tolist()}
+            yield {"doc_id": part["doc_id"], "print": part["print"], "fp": made.view(np.int64).tolist()}
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, fp long", rows)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_print("text").alias("print"), "text")
+    return map_rows(named, "doc_id long, print long, fp long", rows)
+
+
+def text_print(text: str) -> Column:
+    """A hash that tells texts apart; null is its own."""
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text))
 
 
 def budgets(segments: int = SEGMENTS, distance: int = DISTANCE) -> list[int]:
@@ -176,6 +182,15 @@ def links(prints: DataFrame, chain: int = CHAIN, block: int = BLOCK) -> DataFram
     return dealt.mapInArrow(run, out)
 
 
+def reached(docs: DataFrame, chain: int = CHAIN, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of documents and, for each different one, its component: stored tables."""
+    prints = materialize(fingerprints(spread(docs.select("doc_id", "text"))), "fingerprints")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    found = components(links(classes.select("fp"), chain, block)).withColumnRenamed("node", "fp")
+    classes = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return prints, materialize(classes, "reached")
+
+
 def near_copies(docs: DataFrame, chain: int = CHAIN, block: int = BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links reach, of every row.
 
@@ -183,11 +198,7 @@ def near_copies(docs: DataFrame, chain: int = CHAIN, block: int = BLOCK) -> Data
     fingerprint zero and link like others; repeated rows stay; a null doc_id is never a component_id unless the whole
     component has none; no rows give none; other columns are left out.
     """
-    prints = materialize(fingerprints(spread(docs.select("doc_id", "text"))), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    reached = components(links(classes.select("fp"), chain, block)).withColumnRenamed("node", "fp")
-    classes = classes.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    classes = materialize(classes, "reached")
+    prints, classes = reached(docs, chain, block)
     first = classes.groupBy("component").agg(F.min("first").alias("component_id"))
     named = classes.select("fp", "component").join(first, "component").select("fp", "component_id")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -195,13 +206,22 @@ def near_copies(docs: DataFrame, chain: int = CHAIN, block: int = BLOCK) -> Data
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component; all columns stay.
+    """One row of each component, all columns: the smallest doc_id (null comes last), then the smallest hash of the text.
 
-    Rows that repeat doc_id and text are one. Rows without doc_id cannot be told apart from others and all stay.
+    Rows are judged by doc_id and text, so a copy under the doc_id of another text goes, and so do copies without doc_id. Of rows equal in
+    both any one stays. Only kept rows that come more than once are compared by their texts, all others are matched by doc_id and hash.
     """
-    kept = near_copies(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return first.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    prints, classes = reached(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    first = prints.groupBy("fp").agg(F.min(row).alias("row")).join(classes.select("fp", "component"), "fp")
+    kept = first.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.print")
+    times = prints.groupBy("doc_id", "print").agg(F.count("*").alias("_times"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("print").eqNullSafe(F.col("_print"))
+    kept = kept.withColumnsRenamed({"doc_id": "_doc", "print": "_print"}).join(times, same).select("_doc", "_print", "_times")
+    kept = materialize(kept, "kept")
+    named = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & text_print("text").eqNullSafe(F.col("_print")))
+    once = named.filter("_times = 1").select(*docs.columns)
+    return once.unionByName(named.filter("_times > 1").dropDuplicates(["_doc", "_print", "text"]).select(*docs.columns))
 
 
 def near_copies_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+from collections import Counter
 import re
 
 import numpy as np
@@ -86,11 +87,18 @@ def test_one_of_each(make_docs, texts):
     kept = one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(x for x in ids if x is not None) == sorted({r.component_id for r in near_copies(docs).collect()})
-    assert ids.count(None) == 1
+    assert sorted(ids) == sorted({r.component_id for r in near_copies(docs).collect()})
     assert one_of_each(make_docs([])).collect() == []
 
 
+def test_one_of_each_judges_rows_by_their_own_text(make_docs, texts):
+    a, b = texts[0], texts[1]
+    rows = one_of_each(make_docs([(1, b), (5, a), (5, b), (None, a), (None, a)])).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, b), (5, a)]
+    rows = one_of_each(make_docs([(None, a), (None, a), (None, None), (None, ""), (7, None), (7, None), (7, b)])).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter([(None, a), (7, None), (7, b)])
+
+
 def passages(text, items):
     """Items of which a window agrees with the text, and the words those windows cover, by trying all places."""
     words, found, covered = plain_words(text), set(), set()

@@ -3,6 +3,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+import xxhash
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -21,7 +22,9 @@ def folder(spark, texts, tmp_path):
     long = " ".join(f"w{k}" for k in range(80)) + "."
     more = [f"{long} {ITEMS[0][1]}", *[f"{t} {k} {long}" for k, t in enumerate(SECRETS[:4])], f"{long}\nMenu | Home | News"]
     rows = [(k, t, "en", f"src{k % 3}", len(t or "")) for k, t in enumerate([*texts, *more])]
-    docs = spark.createDataFrame([*rows, rows[0], (None, long[::-1], None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    again = [rows[0], (None, long[::-1], None, None, None), (None, long[::-1], "de", None, None), (None, rows[1][1], None, None, None),
+             (4, rows[2][1], None, "s", 1), (4, rows[6][1] + " " + long, None, "s", 1)]
+    docs = spark.createDataFrame([*rows, *again], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)
@@ -34,9 +37,9 @@ def slow(rows):
     root = linked(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 4)
     first = {}
     for i, t in kept:
-        if i is not None:
-            first[root[prints[t]]] = min(i, first.get(root[prints[t]], i))
-    kept = {(i, t) for i, t in kept if i is None or first[root[prints[t]]] == i}
+        row = (i is None, i or 0, xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63) & (1 << 64) - 1, i, t)
+        first[root[prints[t]]] = min(row, first.get(root[prints[t]], row))
+    kept = {row[3:] for row in first.values()}
     kept = {(i, t) for i, t in kept if not passages(t, ITEMS[:1])[0]}
     out = []
     for i, t in kept:
