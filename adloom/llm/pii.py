@@ -35,24 +35,24 @@ ENDINGS = {
 _NAME = r"[^\W\d_a-zа-яёα-ωά-ώ][^\W\d_]+(?:[-'’][^\W\d_]+)?"
 _ADDRESSED = "|".join(sorted(_GENDER, key=len, reverse=True))
 
-#: Kinds in the order in which they are tried at a place.
+#: Kinds in the order in which they are tried at a place. Numbers are of ASCII digits; others are no entities.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
+    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "card": r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
     "phone": (
-        r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)"
-        r"|(?<![\w(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
+        r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?!\w)"
+        r"|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])"
     ),
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "name": rf"(?<!\w)(?:{_ADDRESSED})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items()))
 _OTHERS = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in KINDS.items() if kind != "card"))
 
-#: What a text with personal data certainly holds, for a first look without Python.
-HINT = rf"@|\d[\d .()-]{{5,}}\d|[A-Z]{{2}}\d{{2}}|(?:{_ADDRESSED})"
+#: What a text with personal data certainly holds, for a first look without Python; there, digits are those of ASCII.
+HINT = rf"@|\+[0-9]|\d[\d .()-]{{5,}}\d|[A-Z]{{2}}\d{{2}}|(?:{_ADDRESSED})"
 
 
 def luhn(digits: str) -> int:
@@ -72,7 +72,7 @@ def card_in(said: str, seen: int = 0) -> tuple[int, int] | None:
 
     Groups that end at `seen` or before are known to be none.
     """
-    groups = [g.span() for g in re.finditer(r"\d+", said)]
+    groups = [g.span() for g in re.finditer(r"[0-9]+", said)]
     best, most = None, 12
     for k, (start, _) in enumerate(groups):
         digits = ""
@@ -109,9 +109,11 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and value of each entity; a value is the same however it is written.
 
     Numbers are cards only with a right checksum, also some groups of a longer number. A name has an entity for each of its words, so that `Mr John Smith` and
-    `Mrs Smith` share one: the last word is a family name, the others are given names of the gender of the title.
+    `Mrs Smith` share one: the last word is a family name, the others are given names of the gender of the title. Where the
+    same word, in the same letters, stands alone elsewhere in the text, it is that entity again.
     """
     found = []
+    names_said: dict[str, tuple[str, str]] = {}
     for kind, start, end in _places(text or ""):
         said = text[start:end]
         if kind == "name":
@@ -120,10 +122,24 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             for k, name in enumerate(names):
                 role = f"given_{gender}" if k < len(names) - 1 else "family"
                 found.append((start + name.start(), start + name.end(), role, name[0].lower()))
+                names_said.setdefault(name[0], (role, name[0].lower()))
             continue
         value = said.lower() if kind in ("email", "ip") else re.sub(r"[^A-Za-z0-9]", "", said)
         found.append((start, end, kind, value))
-    return found
+    return found + _again(text or "", names_said, found) if names_said else found
+
+
+def _again(
+    text: str, names: dict[str, tuple[str, str]], found: list[tuple[int, int, str, str]]
+) -> list[tuple[int, int, str, str]]:
+    """Further mentions of the names of a text, outside of what was found."""
+    taken, out, k = [(a, b) for a, b, _, _ in found], [], 0
+    for m in re.finditer(r"[^\W\d_]+(?:[-'’][^\W\d_]+)?", text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if m[0] in names and (k == len(taken) or m.end() <= taken[k][0]):
+            out.append((*m.span(), *names[m[0]]))
+    return out
 
 
 #: Attempts in a row that keep the format; then there is more room, as all values of a format may be taken.
@@ -206,7 +222,7 @@ def replaced(text: str | None, known: dict[tuple[str, str], str]) -> str | None:
     if not text or not known:
         return text
     out, at = [], 0
-    for start, end, kind, value in entities(text):
+    for start, end, kind, value in sorted(entities(text)):
         out += [text[at:start], written_like(known[kind, value], text[start:end])]
         at = end
     return "".join([*out, text[at:]])
