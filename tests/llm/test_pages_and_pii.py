@@ -182,3 +182,66 @@ def test_pseudonymised(make_docs, texts):
     assert {r.text for r in got if r.text and "@" in r.text} - {whole[0].text} == {f"again {mail.upper()}", mail}
     assert not {(k, v) for *_, k, v in entities(TEXT)} & {(k, v) for *_, k, v in entities(whole[0].text)}
     assert pseudonymised(make_docs([])).collect() == []
+
+
+def test_names_said_again_follow_their_entity():
+    text = "Mr John Smith came. Later Smith left, and John too; smith and Smithson did not. x@smith.org Smith"
+    found = entities(text)
+    assert [text[a:b] for a, b, kind, _ in sorted(found) if kind == "family"] == ["Smith", "Smith", "Smith"]
+    assert [text[a:b] for a, b, kind, _ in sorted(found) if kind == "given_m"] == ["John", "John"]
+    made = replaced(text, {(kind, value): f"Q{kind}" for *_, kind, value in found})
+    assert "Smith " not in made and "smith and Smithson" in made and entities("Later Smith left") == []
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("mail a@b.de tel ٠٣٠-٤٥٦-٧٨٩٠", ["email"]),
+        ("०३०-४५६-७८९० and ४१११ ११११ ११११ ११११", []),
+        ("call +123456 now", ["phone"]),
+        ("call +12233", ["phone"]),
+    ],
+)
+def test_digits_of_other_scripts_and_short_numbers(spark, text, kinds):
+    assert [kind for *_, kind, _ in entities(text)] == kinds
+    got = pseudonymised(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert sorted(got.pii) == kinds and (got.text == text) == (not kinds)
+
+
+def test_first_look_hides_no_entity_and_random_texts_do_not_crash(spark):
+    """Random strings of every kind's letters: what has entities is a likely text, and is rewritten alike in Spark."""
+    import random
+
+    from adloom.llm.pii import HINT
+
+    rng = random.Random(9)
+    bits = [*"+-.() @0123456789", "12", "4111111111111111", "192.168.0.1", "DE89", "Mr ", "Frau ", "Κύριος ", "Smith", "Иван", "é", "٣", "a", "\n",
+            "555-123-4567", "123-45-6789", "x@y.org"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    likely = {r[0] for r in df.filter(df.text.rlike(HINT)).collect()}
+    some = [k for k, t in enumerate(texts) if entities(t)]
+    assert len(some) > 500 and set(some) <= likely
+    for r in pseudonymised(df).collect():
+        own = entities(texts[r.doc_id])
+        assert (r.text == texts[r.doc_id]) == (not own)
+        assert sum(r.pii.values()) == len({(kind, value) for *_, kind, value in own})
+        left = {(kind, value) for *_, kind, value in entities(r.text)}
+        assert not left & {(kind, value) for *_, kind, value in own if kind in ("email", "phone", "card", "iban")}
+
+
+def test_boxes_are_told_by_class_tokens():
+    for names in ("entry-content no-sidebar", "post-body has-comments", "with-newsletter", "is-related"):
+        assert text_of(f"<article><h1>T</h1><div class='{names}'><p>said here</p></div></article>") == ["T", "said here"]
+    assert text_of("<article><h1>T</h1><p>a b c d</p><div class='related-posts'>x</div></article>") == ["T", "a b c d"]
+    assert text_of("<article><h1>T</h1><div class='content-share'><p>one two three four</p></div></article>") == ["T", "one two three four"]
+    assert text_of("<p>The value is <math>x=2</math> here</p>") == ["The value is x=2 here"]
+
+
+def test_nested_elements_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for page in ("<div>" * 100_000, "<p><table><td>" + "<div>" * 100_000, "<article>" + "<p><span>" * 50_000, "<ul><li>" * 50_000):
+        assert text_of(page + "deep") == ["deep"]
+    assert time.process_time() - start < 40
