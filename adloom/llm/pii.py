@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm.texts import map_rows, text_struct
+from adloom.operators import membership
 from adloom.session import materialize
 
 # Forms of address that tell a name, and the gender they tell.
@@ -294,7 +295,8 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text", counts:
     the data. Null and empty texts stay, repeated rows get the same text, no rows give none, other columns stay, save one
     called `counts`, which is replaced. Rows need a doc_id column, which may be null.
 
-    Only texts that may hold personal data by a first look are dealt out to meet their surrogates; all others pass by.
+    Texts are looked at once, for their mentions. A filter of bounded size over the texts that have some tells which
+    are dealt out to meet their surrogates; all others pass by.
     """
     own = [c for c in docs.columns if c != counts]
     docs = docs.select(*own)
@@ -303,9 +305,12 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text", counts:
     entry = F.struct("kind", "value", "surrogate")
     known = named.groupBy("doc_id", "print").agg(F.collect_set(entry).alias("_known"))
     known = known.select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "_known")
-    likely = _likely(F.col(text))
-    here = docs.filter(likely).join(
-        known, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_print")), "left"
+    prints = said.select("print").distinct()
+    shape = membership.sized(prints.count())
+    own_print = docs.withColumn("_own", F.xxhash64(text))
+    told = membership.flagged(own_print, "_own", membership.key_filter(prints, "print", shape), shape, "_likely")
+    here = told.filter("_likely").join(
+        known, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_print")), "left"
     )
 
     def fields(row: dict) -> tuple:
@@ -317,7 +322,7 @@ def pseudonymised(docs: DataFrame, key: bytes = KEY, text: str = "text", counts:
     here = here.withColumn("_made", made)
     out = [F.col("_made.text").alias(text) if c == text else F.col(c) for c in own]
     here = here.select(*out, F.col("_made.n").alias(counts))
-    rest = docs.filter(~likely).select(*own, F.expr("cast(map() as map<string,bigint>)").alias(counts))
+    rest = told.filter(~F.col("_likely")).select(*own, F.expr("cast(map() as map<string,bigint>)").alias(counts))
     return here.unionByName(rest)
 
 
