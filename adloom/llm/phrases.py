@@ -137,24 +137,34 @@ class HatTrie:
             )
 
 
+class _Ids(dict):
+    """Ids of words; a new word gets the next one."""
+
+    def __init__(self) -> None:
+        self.words: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        return n
+
+
 class Words:
     """Ids and hashes of words; id 0 is the end of a piece."""
 
     def __init__(self) -> None:
-        self.ids: dict[bytes, int] = {END: 0}
-        self.words: list[bytes] = [END]
-        self.hashes = np.zeros(1, np.uint64)
-        self.bytes = 0
+        self.ids = _Ids()
+        self.words, self.hashes, self.bytes = self.ids.words, np.zeros(0, np.uint64), 0
+        self([END])
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        fresh = list(set(words).difference(self.ids))
+        out = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        fresh = self.words[len(self.hashes) :]
         if fresh:
-            self.ids.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
-            self.words += fresh
             self.bytes += sum(map(len, fresh))
             hashes = [xxhash.xxh64_intdigest(w, 42) for w in fresh]
             self.hashes = np.concatenate([self.hashes, np.array(hashes, np.uint64)])
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return out
 
     def full(self) -> bool:
         return len(self.words) > WORDS or self.bytes > WORD_BYTES
@@ -244,7 +254,10 @@ def _run(lang: str, depth: int, words: list[bytes], keys: np.ndarray, counts: np
     ranks = np.empty(len(named), np.int64)
     ranks[order] = np.arange(len(named))
     ranked = ranks[places].reshape(depth, -1)
-    by = np.lexsort(ranked[::-1])
+    whole = ranked[0]
+    for r in ranked[1:]:
+        whole = whole << ID_BITS | r
+    by = np.argsort(whole)
     texts = pa.array([named[i] for i in order], pa.string())
     key = pc.binary_join_element_wise(*[texts.take(pa.array(r[by])) for r in ranked], lang, " ")
     return pa.RecordBatch.from_arrays([key, pa.array(counts[by])], schema=schema)
@@ -282,9 +295,9 @@ def counted(docs: DataFrame, depth: int, words: Filter | None = None, pairs: Fil
             for lang, trie in sorted(tries.items(), key=lambda x: -x[1].size):
                 # Each lang keeps its share of what may stay.
                 for keys, counts in trie.spill(least * trie.size // max(whole, 1)):
-                    for at in range(0, len(keys), 65_536):
-                        part = slice(at, at + 65_536)
-                        yield _run(lang, depth, known.words, keys[part], counts[part], schema)
+                    one = _run(lang, depth, known.words, keys, counts, schema)
+                    for at in range(0, one.num_rows, 65_536):
+                        yield one.slice(at, 65_536)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
