@@ -58,12 +58,28 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return found
 
 
+def _text_place(whole: str, probed: str) -> tuple[int, int] | None:
+    """Where the text of a turn lies in a rendering, told from one with a probe in its stead; the last place if there are several.
+
+    None if the probe is not in the output, or if other parts of the output follow the text of the turn as well.
+    """
+    parts = probed.split(PROBE)
+    copies = len(parts) - 1
+    room = len(whole) - sum(map(len, parts))
+    if not copies or room < 0 or room % copies:
+        return None
+    end = len(whole) - len(parts[-1])
+    start = end - room // copies
+    return (start, end) if whole == whole[start:end].join(parts) else None
+
+
 def spans(turns: list[tuple[str, str]], render: Render, start: int = 0) -> Iterator[tuple[str, int, int, bool]]:
     """For each turn what it adds to the text, where its own text lies in that, and if it changed what was there before.
 
     Every prefix of the turns is rendered and compared with the one before. A template that rewrites earlier turns does
     not begin with the text of the shorter prefix; what it adds is then what follows the part both share. The place of
-    the turn's own text is that of a probe put in its stead; without one in the output the turn has no text of its own.
+    the turn's own text is that of a probe put in its stead; without one in the output, or if the rest of the output follows
+    the text as well, the turn has no text of its own.
     """
     before = ""
     for k in range(1, len(turns) + 1):
@@ -77,13 +93,51 @@ def spans(turns: list[tuple[str, str]], render: Render, start: int = 0) -> Itera
                 low, high = (middle, high) if whole.startswith(before[:middle]) else (low, middle - 1)
             shared = low
         probed = render([*turns[: k - 1], (turns[k - 1][0], PROBE)], start)
-        at = probed.rfind(PROBE)
-        after = len(probed) - at - len(PROBE)
-        inside = (at - shared, len(whole) - after - shared) if at >= shared else (0, 0)
+        text = _text_place(whole, probed)
+        inside = (text[0] - shared, text[1] - shared) if text and text[0] >= shared else (0, 0)
         yield whole[shared:], *inside, rewrites
         before = whole
 
 
+def placed(turns: list[tuple[str, str]], render: Render) -> list[tuple[str, int, int, int, int, bool]]:
+    """For each turn its part of the last rendering, where that lies, where its own text does, and if it rewrote history.
+
+    The parts make the last rendering. Where no turn rewrites, they are what the turns add. Otherwise each turn is looked for in
+    the last rendering: its text by a probe, and its part up to where the marks behind the text, as they were when the
+    turn was the last one, go on. What a rewrite put before a turn is in the part of that turn. A turn whose text is no
+    longer there, or cannot be told from what the template makes of it, has no text, and no part unless it is the last.
+    """
+    steps = list(spans(turns, render))
+    out: list[tuple[str, int, int, int, int, bool]] = []
+    place = 0
+    if not any(step[3] for step in steps):
+        for added, a, b, rewrites in steps:
+            out.append((added, place, place + len(added), place + a, place + b, rewrites))
+            place += len(added)
+        return out
+    whole = render(turns, 0)
+    texts = [
+        _text_place(whole, render([*turns[:k], (turns[k][0], PROBE), *turns[k + 1 :]], 0)) for k in range(len(turns))
+    ]
+    behind = len(whole)
+    limits = []
+    for text in reversed(texts):
+        limits.append(behind)
+        behind = min(behind, text[0]) if text else behind
+    for k, ((added, _, b, rewrites), text, limit) in enumerate(zip(steps, texts, reversed(limits), strict=True)):
+        a, z = text if text and text[0] >= place else (place, place)
+        end = z
+        if text and text[0] >= place:
+            marks = added[b:]
+            while end < limit and end - z < len(marks) and whole[end] == marks[end - z]:
+                end += 1
+        if k == len(turns) - 1:
+            end = len(whole)
+        out.append((whole[place:end], place, end, a, z, rewrites))
+        place = end
+    return out
+
+
 def format_conversations(
     rows: DataFrame,
     render: Render = marked_turns,
@@ -94,9 +148,10 @@ def format_conversations(
     """One row per turn in order, with the columns of `TURNS`; the `formatted` ones of a conversation make its text.
 
     `start` and `end` tell where a turn lies in the text, `loss_start` and `loss_end` the part under the loss mask (equal
-    unless the role is `trained`), `last` the last turn. Turns go by `turn`, nulls first, equal ones by role and text, so
-    repeated rows stay and have a fixed order. Null roles and texts are empty, a null conv_id is a conversation of its
-    own, no rows give none, other columns are left out.
+    unless the role is `trained`), `last` the last turn. The text is the rendering of all turns; where a template `rewrites`
+    earlier ones, all places are those in that last rendering, and a turn that is no longer there has no part of it. Turns
+    go by `turn`, nulls first, equal ones by role and text, so repeated rows stay and have a fixed order. Null roles and
+    texts are empty, a null conv_id is a conversation of its own, no rows give none, other columns are left out.
 
     Conversations stream through sorted partitions. A template gets all turns so far for each turn, so a task holds one
     conversation. Only one that is `append_only` (what it adds for a turn depends on that turn and its index alone, as
@@ -112,6 +167,14 @@ def format_conversations(
     )
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
+    def parts(said: list[tuple[str, str]], index: int, place: int) -> Iterator[tuple[str, int, int, int, int, bool]]:
+        if not append_only:
+            yield from placed(said, render)
+            return
+        for added, a, b, rewrites in spans(said, render, index):
+            yield added, place, place + len(added), place + a, place + b, rewrites
+            place += len(added)
+
     def formatted(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         names = [f.split()[0] for f in TURNS.split(", ")]
         held: list[tuple] = []
@@ -120,12 +183,11 @@ def format_conversations(
         def close(last: bool) -> Iterator[dict[str, list]]:
             nonlocal held, place, index
             out: list[tuple] = []
-            parts = spans([(role, text) for _, _, role, text in held], render, index)
-            for k, ((conv, turn, role, _), (added, a, b, rewrites)) in enumerate(zip(held, parts, strict=True), 1):
-                a, b = (a, b) if role == trained else (0, 0)
-                end = place + len(added)
-                out.append((conv, turn, role, added, place, end, place + a, place + b, rewrites, last and k == len(held)))
-                place = end
+            said = [(role, text) for _, _, role, text in held]
+            for k, ((conv, turn, role, _), part) in enumerate(zip(held, parts(said, index, place), strict=True), 1):
+                added, start, place, a, b, rewrites = part
+                a, b = (a, b) if role == trained else (start, start)
+                out.append((conv, turn, role, added, start, place, a, b, rewrites, last and k == len(held)))
                 if len(out) == run or k == len(held):
                     yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
                     out = []
@@ -148,7 +210,7 @@ def format_conversations(
 
 
 READ_BACK = (
-    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
 )
 
 
@@ -162,11 +224,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in READ_BACK.split(", ")]
         turns, loss = hashlib.sha256(), hashlib.sha256()
         count = loss_chars = chars = 0
+        rewritten = False
         for part in slices:
             out = []
-            for conv, text, start, a, b, last in zip(
-                *[part[c] for c in ("conv_id", "formatted", "start", "loss_start", "loss_end", "last")], strict=True
+            for conv, text, start, a, b, rewrites, last in zip(
+                *[part[c] for c in ("conv_id", "formatted", "start", "loss_start", "loss_end", "rewrites", "last")], strict=True
             ):
+                rewritten = rewritten or rewrites
                 for role, said in read_turns(text):
                     turns.update(f"{role}\n{said}\n".encode())
                     count += 1
@@ -175,9 +239,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 loss_chars += len(masked)
                 chars += len(text)
                 if last:
-                    out.append((conv, count, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                    out.append((conv, count, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, rewritten))
                     turns, loss = hashlib.sha256(), hashlib.sha256()
                     count = loss_chars = chars = 0
+                    rewritten = False
             if out:
                 yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True))
 
@@ -213,7 +278,8 @@ SELECT conv_id, count(*) AS n_turns,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), ''))
         AS loss_sha256,
-    sum(4 + length({_ESCAPED_ROLE}) + 1 + length({_ESCAPED_TEXT}) + 8)::BIGINT AS formatted_chars
+    sum(4 + length({_ESCAPED_ROLE}) + 1 + length({_ESCAPED_TEXT}) + 8)::BIGINT AS formatted_chars,
+    false AS rewrites
 FROM c GROUP BY conv_id
 """
 

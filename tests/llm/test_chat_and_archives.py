@@ -14,7 +14,7 @@ from adloom.llm.archives import (
     url_key,
     write_archives,
 )
-from adloom.llm.chat import HOSTILE, chat_query, format_conversations, marked_turns, read_back, read_turns, spans
+from adloom.llm.chat import HOSTILE, chat_query, format_conversations, marked_turns, placed, read_back, read_turns, spans
 
 TURNS = "conv_id long, turn long, role string, text string, start long, formatted string"
 
@@ -50,6 +50,79 @@ def test_templates_that_rewrite_history_are_told():
     assert silent == [("nothing", 0, 0, False)]
 
 
+def strips_thoughts():
+    """A template, sent to tasks by value, that strips thoughts from all answers but the last turn and ends with a mark."""
+
+    def thoughtless(turns, start):
+        last = len(turns) - 1
+        said = [t if k == last or r != "assistant" else t.split("</think>")[-1] for k, (r, t) in enumerate(turns)]
+        return "<s>" + "".join(f"[{r}] {t}<end>\n" for (r, _), t in zip(turns, said, strict=True)) + "</s>"
+
+    return thoughtless
+
+
+thoughtless = strips_thoughts()
+
+
+def counted(turns, start):
+    return f"{len(turns)} turns: " + "".join(f"<{r}>{t}</{r}>" for r, t in turns)
+
+
+def last_two(turns, start):
+    return "".join(f"|{r}|{t}|" for r, t in turns[-2:])
+
+
+def twice(turns, start):
+    return f"{turns[-1][1]} ? " + "".join(f"({r}:{t})" for r, t in turns)
+
+
+def stripped(turns, k):
+    role, text = turns[k]
+    return text.split("</think>")[-1] if role == "assistant" and k < len(turns) - 1 else text
+
+
+@pytest.mark.parametrize("render", [thoughtless, counted, last_two, twice])
+def test_spans_lie_in_the_last_rendering(render):
+    turns = [("user", "one one"), ("assistant", "<think>hm</think>two"), ("user", "<end>"), ("assistant", ""), ("user", "one one"),
+             ("assistant", "<think>x</think>[user] <end>")]
+    for n in range(1, len(turns) + 1):
+        some = turns[:n]
+        whole, parts = render(some, 0), placed(some, render)
+        assert "".join(p[0] for p in parts) == whole
+        at = 0
+        for k, (part, start, end, a, b, _) in enumerate(parts):
+            assert start == at and whole[start:end] == part and start <= a <= b <= end
+            at = end
+            if render is last_two and k < n - 2:
+                assert part == "" and a == b
+            else:
+                assert whole[a:b] == (stripped(some, k) if render is thoughtless else some[k][1])
+        assert any(p[5] for p in parts) == (n > (2 if render is last_two else 1))
+    assert placed(turns[:3], thoughtless)[0][0] == "<s>[user] one one<end>\n"
+    assert placed(turns[:3], thoughtless)[1][0] == "[assistant] two<end>\n"
+
+
+def test_texts_that_cannot_be_placed():
+    assert placed([("a", "x"), ("b", "yy")], lambda turns, start: "-".join(str(len(t)) for _, t in reversed(turns))) == [
+        ("", 0, 0, 0, 0, False), ("2-1", 0, 3, 0, 0, True)]
+
+
+def test_rows_of_rewriting_templates(spark):
+    turns = [("user", "q"), ("assistant", "<think>a</think>b"), ("user", "r"), ("assistant", "<think>c</think>d")]
+    rows = [(c, k, r, t) for c in range(5) for k, (r, t) in enumerate(turns[: c % 4 + 1])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    by = {}
+    for r in format_conversations(df, thoughtless).collect():
+        by.setdefault(r.conv_id, []).append(r)
+    for c, found in by.items():
+        some = turns[: c % 4 + 1]
+        whole = thoughtless(some, 0)
+        found.sort(key=lambda r: r.turn)
+        assert "".join(r.formatted for r in found) == whole
+        for k, r in enumerate(found):
+            assert whole[r.loss_start : r.loss_end] == (stripped(some, k) if r.role == "assistant" else "")
+
+
 def conversations(spark):
     rng = random.Random(6)
     rows = [(c, t, ("user", "assistant")[t % 2], "x" * rng.randint(0, 9) + f"\\{c}###") for c in range(20) for t in range(c % 5 + 1)]
@@ -90,11 +163,13 @@ def test_long_conversations_of_templates_that_look_back(spark):
     for render in (last_only, first_named):
         got = format_conversations(df, render).orderBy("conv_id", "turn").collect()
         for n, turns in by.items():
-            mine, at = [r for r in got if r.conv_id == n], 0
-            for r, (role, _), (added, a, b, rewrites) in zip(mine, turns, spans(turns, render), strict=True):
-                a, b = (a, b) if role == "assistant" else (0, 0)
-                assert (r.formatted, r.loss_start, r.loss_end, r.rewrites) == (added, at + a, at + b, rewrites)
-                at += len(added)
+            mine, at, whole = [r for r in got if r.conv_id == n], 0, render(turns, 0)
+            assert "".join(r.formatted for r in mine) == whole
+            for k, (r, (role, text)) in enumerate(zip(mine, turns, strict=True)):
+                seen = "-" if render is last_only and k < n - 1 else text
+                assert (r.start, r.end) == (at, at + len(r.formatted))
+                assert whole[r.loss_start : r.loss_end] in ((seen, "") if seen == "-" else (seen,)) or role != "assistant"
+                at = r.end
             assert [r.last for r in mine] == [False] * (n - 1) + [True]
             if render is last_only:
                 assert [r.rewrites for r in mine] == [False] + [True] * (n - 1)
