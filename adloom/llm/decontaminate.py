@@ -17,12 +17,17 @@ from adloom.session import materialize
 #: A passage counts where `LEAST` of `WINDOW` successive words agree, place by place.
 WINDOW, LEAST = 13, 11
 
+#: Shorter items count as a whole: from `LOOSE` words on one word may differ, below that none. Items of fewer than `SHORTEST`
+#: words are common phrases, so they count only where they are all the words of a text.
+LOOSE, SHORTEST = 8, 5
+
 #: Places a seed looks at (1) and skips (0). Wherever at most two of 13 words differ, one of the first three seeds fits
-#: somewhere among the words that agree. The last one finds items shorter than a window, which have to agree throughout.
-SEEDS = ["111011101", "1110100111", "1001110111", "11111"]
+#: somewhere among the words that agree. The last one finds items shorter than a window: of `LOOSE` words or more of which one
+#: differs, four in a row agree.
+SEEDS = ["111011101", "1110100111", "1001110111", "1111"]
 
-#: Items of fewer words are common phrases and are not looked for.
-SHORTEST = 5
+#: The number that stands for the whole of a text of fewer than `SHORTEST` words in place of a seed.
+WHOLE = len(SEEDS)
 
 #: Bits of the filter that keeps positions which no item has a seed for from being written at all.
 FILTER_BITS = 24
@@ -58,6 +63,19 @@ def seed_hashes(hashes: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
+def whole_hash(hashes: np.ndarray) -> np.ndarray:
+    """The hash of a text of fewer than `SHORTEST` words, of no word a hash that stands for nothing."""
+    out = np.full(1, len(hashes), np.uint64)
+    for word in hashes:
+        out = (out ^ word) * np.uint64(_FACTORS[0][0])
+    return out
+
+
+def least_equal(words: int) -> int:
+    """Words of the window of an item with so many words that have to agree."""
+    return LEAST if words >= WINDOW else words - 1 if words >= LOOSE else words
+
+
 def _around(hashes: np.ndarray, pos: int) -> list[int]:
     """The words a window with a seed at `pos` can hold: 12 before, itself, 12 after; zero outside the text."""
     out = np.zeros(2 * WINDOW - 1, np.uint64)
@@ -100,11 +118,11 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
             for item, text in zip(part["item_id"], part["text"], strict=True):
                 hashes = word_hashes(text)
                 n = len(hashes)
-                if n < SHORTEST:
+                if n == 0:
                     continue
-                for seed in range(len(SEEDS) - 1) if n >= WINDOW else [len(SEEDS) - 1]:
-                    made = seed_hashes(hashes, seed).view(np.int64)
-                    for pos in range(len(made)) if n >= WINDOW else [0]:
+                for seed in range(WHOLE - 1) if n >= WINDOW else [WHOLE - 1] if n >= SHORTEST else [WHOLE]:
+                    made = (seed_hashes(hashes, seed) if seed < WHOLE else whole_hash(hashes)).view(np.int64)
+                    for pos in range(len(made)) if n >= LOOSE else [0]:
                         out.append((item, n, pos, seed, int(made[pos]), _around(hashes, pos)))
             yield dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names}
 
@@ -123,8 +141,8 @@ def document_seeds(docs: DataFrame, bits: bytes) -> DataFrame:
             out = []
             for doc, made_of, text in zip(part["doc_id"], part["print"], part["text"], strict=True):
                 hashes = word_hashes(text)
-                for seed in range(len(SEEDS)):
-                    made = seed_hashes(hashes, seed)
+                for seed in range(WHOLE) if len(hashes) >= SHORTEST else [WHOLE] if len(hashes) else []:
+                    made = seed_hashes(hashes, seed) if seed < WHOLE else whole_hash(hashes)
                     first, second = _slots(made)
                     some = np.flatnonzero(known[first])
                     for pos in some[known[second[some]]].tolist():
@@ -167,9 +185,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             out = []
             for seed, doc, made_of, pos, long, here, item, at, words, there in zip(*part.values(), strict=True):
                 size = min(WINDOW, words)
-                least = LEAST if words >= WINDOW else words
+                least = least_equal(words)
                 equal = np.concatenate(([0], np.cumsum(np.equal(here, there))))
-                for back in range(size - len(SEEDS[seed]), -1, -1):
+                if seed == WHOLE and words != long:
+                    continue
+                for back in range(size - (len(SEEDS[seed]) if seed < WHOLE else size), -1, -1):
                     low = WINDOW - 1 - back
                     whole = 0 <= at - back <= words - size and 0 <= pos - back <= long - size
                     if whole and equal[low + size] - equal[low] >= least:
@@ -182,7 +202,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold benchmark passages: doc_id, items (array of item_id), covered_words.
 
-    Null and empty texts or items hold nothing; items of fewer than `SHORTEST` words are not looked for. Rows with one
+    Null and empty texts or items hold nothing; items of fewer than `SHORTEST` words are held by texts of just those words. Rows with one
     doc_id, null being one as well, are judged together; repeated items are one. No rows give none; other columns are
     left out.
     """
@@ -231,17 +251,18 @@ _WORDS = (
 )
 _FOUR = "ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] || ' ' || ws[k + 3]"
 
-#: 11 of 13 words that agree hold four in a row, which finds the candidates here.
+#: 11 of 13 words that agree hold four in a row, and so do all but one of 8 or more, which finds the candidates here.
 SQL = f"""
 WITH d AS (
     SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL
 ), i AS (
-    SELECT item_id, ws, least({WINDOW}, len(ws)) AS size, CASE WHEN len(ws) < {WINDOW} THEN len(ws) ELSE {LEAST} END AS need
-    FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL) WHERE len(ws) >= {SHORTEST}
+    SELECT item_id, ws, least({WINDOW}, len(ws)) AS size,
+        CASE WHEN len(ws) >= {WINDOW} THEN {LEAST} WHEN len(ws) >= {LOOSE} THEN len(ws) - 1 ELSE len(ws) END AS need
+    FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL) WHERE len(ws) > 0
 ), di AS (
     SELECT r, k, {_FOUR} AS four FROM (SELECT r, ws, unnest(range(1, len(ws) - 2)) AS k FROM d)
 ), ii AS (
-    SELECT item_id, k, {_FOUR} AS four FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 2)) AS k FROM i)
+    SELECT item_id, k, {_FOUR} AS four FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 2)) AS k FROM i WHERE len(ws) >= {SHORTEST})
 ), diagonals AS (
     SELECT DISTINCT r, item_id, di.k - ii.k AS shift FROM di JOIN ii USING (four)
 ), windows AS (
@@ -251,6 +272,7 @@ WITH d AS (
     SELECT doc_id, item_id, s + shift AS pos, size FROM windows JOIN d USING (r)
     WHERE s + shift >= 1 AND s + shift + size - 1 <= len(dw)
         AND len(list_filter(range(0, size), lambda j: iw[s + j] = dw[s + shift + j])) >= need
+    UNION ALL SELECT doc_id, item_id, 1, size FROM i JOIN d USING (ws) WHERE size < {SHORTEST}
 ), items AS (
     SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items
     FROM hits GROUP BY doc_id

@@ -1,10 +1,22 @@
 from collections import Counter
 import re
 
+import duckdb
 import numpy as np
 import xxhash
 from adloom.llm.components import components
-from adloom.llm.decontaminate import LEAST, SEEDS, SHORTEST, WINDOW, clean_documents, contamination, plain_words
+from adloom.llm.decontaminate import (
+    LEAST,
+    LOOSE,
+    SEEDS,
+    SHORTEST,
+    SQL,
+    WINDOW,
+    clean_documents,
+    contamination,
+    contamination_query,
+    plain_words,
+)
 from adloom.llm.simhash import budgets, fingerprint, key_masks, links, near_copies, one_of_each, prefixes
 
 
@@ -105,8 +117,8 @@ def passages(text, items):
     for item, said in items:
         other = plain_words(said)
         size = min(WINDOW, len(other))
-        need = LEAST if len(other) >= WINDOW else size
-        if len(other) < SHORTEST:
+        need = LEAST if len(other) >= WINDOW else size - 1 if len(other) >= LOOSE else size
+        if not other or (len(other) < SHORTEST and words != other):
             continue
         for a in range(len(words) - size + 1):
             for b in range(len(other) - size + 1):
@@ -121,6 +133,11 @@ ITEMS = [
     (2, "Six words, not more than that."),
     (3, "too short really"),
     (4, " ".join(f"thing{k}" for k in range(13))),
+    (7, " ".join(f"eight{k}" for k in range(8))),
+    (8, " ".join(f"twelve{k}" for k in range(12))),
+    (9, "one"),
+    (10, "Four of them, here"),
+    (11, "one two three four five six seven"),
     (5, None),
     (6, "  "),
     (None, " ".join(f"nameless{k}" for k in range(20))),
@@ -136,7 +153,14 @@ def leaks():
             part = [("X" if k in changed else w) for k, w in enumerate(words[:13])]
             out.append(" ".join(base[:7] + part + base[7:]))
             out.append(" ".join(part))
-    out += ["SIX WORDS not more (than) that", "six words not less than that", "too short really", ITEMS[6][1], None, ""]
+    out += ["SIX WORDS not more (than) that", "six words not less than that", "too short really", ITEMS[-1][1], None, ""]
+    for item, n in ((4, 8), (5, 12), (8, 7)):
+        words = ITEMS[item][1].split()
+        assert len(words) == n
+        for changed in ([], *[[k] for k in range(n)], [0, n - 1], [2, 5]):
+            part = [("X" if k in changed else w) for k, w in enumerate(words)]
+            out += [" ".join(base[:5] + part + base[5:]), " ".join(part), " ".join(part[1:])]
+    out += ["One!", "one one", "not one", "four of them here", "four of them here too", "them four of here", "too short, (really)"]
     return [*out, " ".join(ITEMS[0][1].split()[5:] * 30)]
 
 
@@ -147,13 +171,26 @@ def test_contamination(spark, make_docs, texts):
     items = [(i, t) for i, t in ITEMS if i is not None]
     for k, text in enumerate(rows):
         found, covered = passages(text, items)
-        if text != ITEMS[6][1]:
+        if text != ITEMS[-1][1]:
             assert got.get(k, ([], 0)) == (found, covered)
     left = clean_documents(make_docs(rows), benchmark)
     assert left.columns == make_docs([]).columns
     assert {r.doc_id for r in left.collect()} == set(range(len(rows))) - set(got)
 
 
+def test_sql_has_items_of_all_lengths(spark, make_docs, tmp_path):
+    make_docs(leaks()).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS[:-1], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = con.execute(SQL)
+    columns = [d[0] for d in found.description]
+    got = contamination_query(spark, str(tmp_path)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+    assert sum(r.contaminated for r in got) > 50
+
+
 def test_contamination_of_nothing(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
