@@ -6,16 +6,19 @@ import gzip
 import hashlib
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from adloom.llm.texts import map_rows
+from adloom.llm.texts import ROWS
+from adloom.operators.ordering import ranges_of
 from adloom.session import materialize, staging_path
 
 # Payloads from this size on are stored once, and the profile of records that stand for others.
@@ -25,9 +28,16 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Records in a file, which one task reads.
 RECORDS = 5000
 
+#: Captures that a merging task holds, about; ranges are as many as that takes.
+RANGE_ROWS = 250_000
+
+#: Captures of a run that a merging task has as objects at once.
+HEAD_ROWS = 32
+
+#: `start` and `length` tell where a record lies in its archive once that is unpacked.
 INDEX = (
     "url_key string, captured_at string, page_id long, url string, record_type string, payload_digest string, "
-    "payload_bytes long, refers_to long, file string, record int"
+    "payload_bytes long, refers_to long, file string, record int, start long, length long"
 )
 
 
@@ -52,7 +62,7 @@ def records(pages: DataFrame, captured: Column | None = None) -> DataFrame:
         payload.alias("payload"),
         F.sha1(payload.cast("binary")).alias("digest"),
         F.octet_length(payload).alias("bytes"),
-        F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        F.date_format(F.to_utc_timestamp(when, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
     )
     large = rows.filter(F.col("bytes") >= SHARED_BYTES)
     first = large.groupBy("digest", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
@@ -93,22 +103,25 @@ def url_key(url: str) -> str:
     return labels + (f":{port}" if port not in ("", "80", "443") else "") + ")" + (m[2] or "/")
 
 
-def _headers(stream: BinaryIO) -> dict[str, str]:
-    """The header lines up to the blank one, by small name."""
-    found = {}
-    while (line := stream.readline()) not in (b"\r\n", b""):
+def _headers(stream: BinaryIO) -> tuple[dict[str, str], int]:
+    """The header lines up to the blank one, by small name, and their bytes with the blank line."""
+    found, size = {}, 0
+    while line := stream.readline():
+        size += len(line)
+        if line == b"\r\n":
+            break
         name, _, value = line.decode().rstrip("\r\n").partition(": ")
         found[name.lower()] = value
-    return found
+    return found, size
 
 
 def read_archive(stream: BinaryIO, file: str) -> Iterator[tuple]:
     """The index rows of an archive in its own order; every payload is held alone and checked against its digest."""
-    number = 0
+    number = start = 0
     while line := stream.readline():
         if line != b"WARC/1.0\r\n":
             raise ValueError(f"{file}: no record where one should begin")
-        head = _headers(stream)
+        head, head_bytes = _headers(stream)
         block = stream.read(int(head["content-length"]))
         if stream.read(4) != b"\r\n\r\n":
             raise ValueError(f"{file}: record {number} does not end where it should")
@@ -119,8 +132,9 @@ def read_archive(stream: BinaryIO, file: str) -> Iterator[tuple]:
             raise ValueError(f"{file}: record {number} is damaged")
         page, refers = (_page(head.get(name)) for name in ("warc-record-id", "warc-refers-to"))
         url = head.get("warc-target-uri")
-        yield url_key(url or ""), head["warc-date"], page, url, kind, digest, size, refers, file, number
-        number += 1
+        length = len(line) + head_bytes + len(block) + 4
+        yield url_key(url or ""), head["warc-date"], page, url, kind, digest, size, refers, file, number, start, length
+        number, start = number + 1, start + length
 
 
 def _page(name: str | None) -> int | None:
@@ -153,7 +167,7 @@ def archive_index(spark: SparkSession, path: str) -> DataFrame:
 class LoserTree:
     """Merges sorted runs: each inner node keeps the loser of its match, so one path is replayed for each row."""
 
-    def __init__(self, runs: list[list[tuple]]):
+    def __init__(self, runs: list[Iterable[tuple]]):
         self.runs = [iter(run) for run in runs]
         self.k = len(runs)
         self.heads = [self._next(i) for i in range(self.k)]
@@ -185,39 +199,80 @@ class LoserTree:
             self.winner = i
 
 
-def merge_index(index: DataFrame) -> DataFrame:
-    """All captures in order of URL key and time: partition after partition, and within each.
+def _rows(run: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of a run, a few as objects at a time."""
+    for batch in run:
+        for start in range(0, batch.num_rows, HEAD_ROWS):
+            part = batch.slice(start, HEAD_ROWS)
+            yield from zip(*[c.to_pylist() for c in part.columns], strict=True)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> list[list[pa.RecordBatch]]:
+    """Batches in order of their file, cut where it changes."""
+    runs: list[list[pa.RecordBatch]] = []
+    last = None
+    for batch in batches:
+        files = batch.column(batch.schema.get_field_index("file")).to_pylist()
+        start = 0
+        for k in range(1, len(files) + 1):
+            if k == len(files) or files[k] != files[start]:
+                if files[start] != last:
+                    runs.append([])
+                    last = files[start]
+                runs[-1].append(batch.slice(start, k - start))
+                start = k
+    return runs
+
+
+def merge_index(index: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All captures in order of URL key and time: partition after partition, and within each; `part` and `nth` say where.
 
     Captures are dealt out by ranges of the whole order, so that a URL captured very often spreads over several
-    partitions. Each merges the stretches of the runs that fall into its range. `index` should be stored: it is read twice.
+    partitions. Ranges are as many as the captures take, so a task holds about `range_rows` of them, packed as Arrow
+    columns; the stretches of the runs that fall into its range come in sorted by Spark, and the tree reads a few rows of
+    each at a time. `index` should be stored: it is read for its count, for the sample and for its rows.
     """
+    order = ["url_key", "captured_at", "page_id", "file", "record"]
     names = [f.split()[0] for f in INDEX.split(", ")]
-    dealt = index.repartitionByRange("url_key", "captured_at", "page_id", "file", "record")
-
-    def merged(slices: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        runs: dict[str, list[tuple]] = {}
-        for part in slices:
-            for row in zip(*[part[n] for n in names], strict=True):
-                runs.setdefault(row[8], []).append(row)
-        for run in runs.values():
-            run.sort(key=_order)  # in order as written, unless pieces of it came the other way round
-        held: list[tuple] = []
-        for row in LoserTree(list(runs.values())):
+    dealt = index.select(*names).repartitionByRange(ranges_of(index, index.count(), range_rows), *order)
+    out = T._parse_datatype_string(f"{INDEX}, part int, nth long")
+    arrow = to_arrow_schema(out)
+
+    def packed(rows: list[tuple], part: int, nth: int) -> pa.RecordBatch:
+        columns = [*zip(*rows, strict=True), [part] * len(rows), range(nth, nth + len(rows))]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, held = TaskContext.get().partitionId(), 0, []
+        for row in LoserTree([_rows(run) for run in _runs(batches)]):
             held.append(row)
-            if len(held) == 1000:
-                yield dict(zip(names, map(list, zip(*held, strict=True)), strict=True))
-                held = []
+            if len(held) == ROWS:
+                yield packed(held, part, nth)
+                held, nth = [], nth + ROWS
         if held:
-            yield dict(zip(names, map(list, zip(*held, strict=True)), strict=True))
+            yield packed(held, part, nth)
 
-    return map_rows(dealt, INDEX, merged)
+    return dealt.sortWithinPartitions("file", *order).mapInArrow(merged, out)
+
+
+def with_places(merged: DataFrame) -> DataFrame:
+    """A merged index with the place of each capture in the whole order, `place` from 1; it is stored on the way.
+
+    Captures are counted for each range, and a range starts where those before it end: one row for each range is summed.
+    """
+    stored = materialize(merged, "warc-merged")
+    before = F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = stored.groupBy("part").agg(F.count("*").alias("_n"))
+    starts = starts.select("part", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("nth") + 1).alias("place")
+    return stored.join(starts, "part").select(*[F.col(c) for c in merged.columns if c not in ("part", "nth")], place)
 
 
 def archived(pages: DataFrame, captured: Column | None = None) -> DataFrame:
     """Write pages to archives in the shared folder, read them back, and return their merged index.
 
-    Null html is an empty payload, a null url an empty key, a null page_id stays null. Repeated rows have a record each,
-    no rows give none, other columns are left out.
+    Null html is an empty payload, a null url an empty key, a null page_id stays null and comes first among captures of
+    one time. Repeated rows have a record each, next to each other; no rows give none, other columns are left out.
     """
     spark = pages.sparkSession
     path = staging_path(spark, "warc")
@@ -226,22 +281,39 @@ def archived(pages: DataFrame, captured: Column | None = None) -> DataFrame:
 
 
 def archive_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as its archive record tells."""
-    index = archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every page as its archive record tells, with its place in the capture history of all archives."""
+    index = with_places(archived(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return index.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "place"
+    )
 
 
 SQL = f"""
 WITH p AS (
-    SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+    SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes,
+        regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^#]*)', ['host', 'rest']) AS u,
+        regexp_matches(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//') AS has_host,
+        split_part(coalesce(url, ''), '#', 1) AS bare,
+        strftime(make_timestamp((coalesce(page_id, 0) + 1700000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at
+    FROM pages
+), h AS (
+    SELECT *, regexp_replace(split_part(lower(u.host), ':', 1), '^www[.]', '') AS host,
+        regexp_extract(lower(u.host), '^[^:]*:(.*)$', 1) AS port
+    FROM p
+), k AS (
+    SELECT *, CASE WHEN has_host THEN array_to_string(list_reverse(string_split(host, '.')), ',')
+        || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END
+        || ')' || CASE WHEN u.rest = '' THEN '/' ELSE u.rest END ELSE bare END AS url_key
+    FROM h
 ), f AS (
     SELECT payload_digest, payload_bytes, max(page_id) AS first FROM p
     WHERE payload_bytes >= {SHARED_BYTES} GROUP BY ALL HAVING count(*) > 1
 )
 SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest, payload_bytes)
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to,
+    url_key, captured_at, row_number() OVER (ORDER BY url_key, captured_at, page_id NULLS FIRST) AS place
+FROM k LEFT JOIN f USING (payload_digest, payload_bytes)
 """
 
 QUERIES = {"op8_warc_index_merge": archive_query}

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import io
 import random
@@ -12,6 +13,7 @@ from adloom.llm.archives import (
     merge_index,
     read_archive,
     url_key,
+    with_places,
     write_archives,
 )
 from adloom.llm.chat import HOSTILE, chat_query, format_conversations, marked_turns, placed, read_back, read_turns, spans
@@ -228,6 +230,29 @@ def test_runs_are_sorted_and_merged(spark, tmp_path):
     assert merged == sorted(k for run in runs.values() for k in run)
 
 
+def test_places_and_records_of_a_merged_index(spark, tmp_path):
+    """Many small ranges, a URL on a third of the captures, a record found by its place in the archive."""
+    rows = [(k, "http://hot.org/" if k % 3 == 0 else f"http://h{k % 5}.org/{k % 11}", f"page {k}") for k in range(600)]
+    df = spark.createDataFrame([*rows, *rows[:4]], "page_id long, url string, html string")
+    path = f"{tmp_path}/w"
+    write_archives(df.repartition(5), path)
+    index = archive_index(spark, path)
+    got = with_places(merge_index(index, range_rows=40)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 605))
+    keys = [_order(tuple(r)) for r in got]
+    assert keys == sorted(keys)
+    assert merge_index(index, range_rows=40).select("part").distinct().count() > 10
+    for name in {r.file for r in got}:
+        data = gzip.decompress((tmp_path / "w" / name).read_bytes())
+        mine = sorted((r for r in got if r.file == name), key=lambda r: r.record)
+        assert [r.start for r in mine] == [sum(m.length for m in mine[:k]) for k in range(len(mine))]
+        for r in mine:
+            piece = data[r.start : r.start + r.length]
+            assert next(read_archive(io.BytesIO(piece), "f"))[2] == r.page_id
+            assert piece.endswith(f"page {r.page_id}\r\n\r\n".encode())
+    assert with_places(merge_index(index.limit(0))).collect() == []
+
+
 def test_loser_tree_merges_any_runs():
     rng = random.Random(7)
     for k in range(12):
