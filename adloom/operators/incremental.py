@@ -110,14 +110,18 @@ def page_stats(
     )
 
 
-def crawl_summary(stored: DataFrame, found: DataFrame, new: DataFrame) -> DataFrame:
-    """One row: links found, ads before, new ads, ads after. Only new rows count as new."""
+def crawl_summary(stored: DataFrame, found: DataFrame | int, new: DataFrame | int) -> DataFrame:
+    """One row: links found, ads before, new ads, ads after. Only new rows count as new.
+
+    Links and new ads are tables to count, or numbers of rows that have been counted already.
+    """
+
+    def count(rows: DataFrame | int) -> Column:
+        return F.lit(rows).cast("long") if isinstance(rows, int) else rows.agg(F.count("*")).scalar()
+
     before = stored.agg(F.count_if(is_stored()).alias("before"))
-    return found.agg(F.count("*").alias("found")).select(
-        "found",
-        before.scalar().alias("before"),
-        new.agg(F.count("*")).scalar().alias("new"),
-        (before.scalar() + new.agg(F.count("*")).scalar()).alias("total_after"),
+    return before.select(
+        count(found).alias("found"), "before", count(new).alias("new"), (F.col("before") + count(new)).alias("total_after")
     )
 
 

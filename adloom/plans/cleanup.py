@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.operators import duplicates as dup
-from adloom.operators.validity import quality_counts, without_errors
+from adloom.operators.validity import is_no_error
+from adloom.session import observed
 from adloom.sources import files
 from adloom.sources.ads import WRITING, read_csv_whole
 
@@ -47,7 +48,7 @@ def clean_errors(
 ) -> Cleaned | None:
     """Rewrite the table at `path` without error records; None if there is no table.
 
-    A table without error records is left alone. The new table is written beside the old one and takes its place by
+    A table without error records is left alone. Records are counted while the new table is written. It is written beside the old one and takes its place by
     renaming; the old one becomes the backup. If the second renaming fails, the old table gets its place back. A record
     with more or fewer fields than the header, or files with unlike headers, fail the job and leave the table as it is.
     With `check`, the result also has the excess per criterion before cleaning, error records included.
@@ -59,19 +60,20 @@ def clean_errors(
     if check:
         numbered = table.withColumn("pos", F.monotonically_increasing_id())
         found = {r["type"]: r["excess"] for r in check_duplicates(numbered)[0].collect()}
-    counts = quality_counts(table).first()
-    total, valid, errors = counts["total_records"], counts["valid_records"], counts["error_records"]
-    if errors == 0:
+    if table.filter(~is_no_error()).isEmpty():  # ends with the first one found
+        total = table.count()
         return Cleaned(total, 0, total, None, found)
     kept = f"{path}.backup_{(now or datetime.now()):%Y%m%d_%H%M%S}"
     if files.exists(spark, kept):
         raise FileExistsError(f"there is a backup at {kept} already")
     fresh = f"{path}.staging_{uuid.uuid4().hex}"
-    writer = without_errors(table).write
+    rows, seen = observed(table, total=F.count("*"), errors=F.count_if(~is_no_error()))
+    writer = rows.filter(is_no_error()).write
     if fmt == "csv":
         writer.options(**WRITING).csv(fresh)
     else:
         writer.format(fmt).save(fresh)
+    total, errors = seen.get["total"], seen.get["errors"]
     files.rename(spark, path, kept)
     try:
         files.rename(spark, fresh, path)
@@ -80,4 +82,4 @@ def clean_errors(
         raise
     if not backup:
         files.delete(spark, kept)
-    return Cleaned(total, errors, valid, kept if backup else None, found)
+    return Cleaned(total, errors, total - errors, kept if backup else None, found)

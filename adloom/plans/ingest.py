@@ -19,7 +19,7 @@ from adloom.operators.crawl import before_stop, fingerprint, first_stops
 from adloom.operators.ordering import first_rows
 from adloom.operators.shape import align
 from adloom.operators.validity import stored_count, without_errors
-from adloom.session import materialize
+from adloom.session import materialize, materialize_counted
 from adloom.sources.ads import read_csv
 from adloom.sources.files import exists
 from adloom.sources.pages import extract_ads, listing_links
@@ -104,8 +104,8 @@ def run_summary(
     links: DataFrame, stored: DataFrame, cap: int | None = None, ident: Callable[[Column], Column] = id_from_url
 ) -> DataFrame:
     """Totals of a run: found, new and all links are counted on the pages that a crawl gets to."""
-    found = materialize(reached(links, cap), "reached")
-    return inc.crawl_summary(stored, found, inc.accepted(found, inc.stored_ids(stored, ident), "id"))
+    found, n = materialize_counted(reached(links, cap), "reached")
+    return inc.crawl_summary(stored, n, inc.accepted(found, inc.stored_ids(stored, ident), "id"))
 
 
 def ingest(
@@ -123,16 +123,17 @@ def ingest(
 
     `listings` has page_id (order of the pages over all crawls), crawl_id, page_num and html; `pages` has url and html of
     what could be fetched. `cap` is the last page of a crawl that is looked at, `compared` the number of identifiers by which
-    pages are told to repeat (all, if None). Returns the table after the run and its totals, both of links on pages that a crawl gets to.
+    pages are told to repeat (all, if None). Returns the table after the run and its totals, both of links on pages that a crawl gets to;
+    found links and new ads are counted while they are written.
     """
     found = listing_links(listings, host).select("page_id", "ord", "url", "title")
     order = F.col("page_id") * ORDER_IN_PAGE + F.col("ord")
     links = listings.select("page_id", "crawl_id", "page_num").join(found, "page_id", "left")
     links = links.select(*PAGE, order.alias("pos"), ident(F.col("url")).alias("id"), "url", "title")
-    found = materialize(reached(materialize(links, "links"), cap, compared=compared), "reached")
+    found, n_found = materialize_counted(reached(materialize(links, "links"), cap, compared=compared), "reached")
     new = materialize(inc.accepted(found, inc.stored_ids(stored, ident), "id"), "new-links")
-    ads = materialize(_ads_of(new, load(new, pages, now=now), stored, target), "ads")
-    return align(stored).unionByName(align(ads)), inc.crawl_summary(stored, found, ads)
+    ads, n_ads = materialize_counted(_ads_of(new, load(new, pages, now=now), stored, target), "ads")
+    return align(stored).unionByName(align(ads)), inc.crawl_summary(stored, n_found, n_ads)
 
 
 def load(

@@ -8,7 +8,8 @@ import tempfile
 import weakref
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "adloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -75,6 +76,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def observed(df: DataFrame, **figures: Column) -> tuple[DataFrame, Observation]:
+    """The table with aggregates that are worked out on its rows when it is written, without another pass.
+
+    It must be written as it is, or filtered: tasks that write count once however often they are run, those that write
+    shuffle files may count twice after an executor is lost.
+    """
+    seen = Observation()
+    return df.observe(seen, *[value.alias(name) for name, value in figures.items()]), seen
+
+
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`materialize`, and the number of rows, counted while they are written."""
+    rows, seen = observed(df, n=F.count("*"))
+    table = materialize(rows, name)
+    return table, seen.get["n"]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a small table before costly work on its rows.
 
