@@ -35,3 +35,15 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Names of what a folder holds; none if there is no such folder."""
     fs, p = _fs(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    fs, p = _fs(spark, path)
+    fs.create(p, True).close()
