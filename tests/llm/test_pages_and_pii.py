@@ -88,6 +88,28 @@ def test_copies_are_no_template(spark):
         assert r.text.split("\n\n") == [title, *(["said", "one", "two"] if end[0] not in "op" else [])]
 
 
+def test_blocks_that_recur_inside_articles_go(spark):
+    box = "<div>read more of <b>us</b></div>"
+    page = f"<article><h1>title {{0}}</h1><div class=body>own {{0}} words{box}and {{0}} more<ul><li>quoted</li></ul><p>said often</p><hr></div></article>"
+    rows = [(f"http://h.org/{k}", page.format(k)) for k in range(12)]
+    rows += [(f"http://h.org/m{k}", f"<main><h2>main {k}</h2><section>{box}<p>in a box</p></section><p>of {k} a b c d</p></main>") for k in range(12)]
+    rows += [("http://rare.org/", page.format(0)), ("http://h.org/b", f"<article>{box}</article>")]
+    got = {r.url: r.text.split("\n\n") for r in extract_text(spark.createDataFrame(rows, "url string, html string")).collect()}
+    for k in range(12):
+        assert got[f"http://h.org/{k}"] == [f"title {k}", f"own {k} words", f"and {k} more", "said often"]
+        assert got[f"http://h.org/m{k}"] == [f"main {k}", f"of {k} a b c d"]
+    assert got["http://rare.org/"] == ["title 0", "own 0 words", "read more of us", "and 0 more", "quoted", "said often"]
+    assert got["http://h.org/b"] == ["read more of us"]
+
+
+def test_a_page_holds_what_any_copy_of_it_holds(spark):
+    said = "<article><p>said on {}</p></article>"
+    rows = [(f"http://h.org/{k}", f"<div>{bar} bar</div>{said.format(k)}") for k in range(6) for bar in ("old", "new")]
+    rows += [("http://h.org/plain", "<div>old bar</div><div>new bar</div><div>own</div>")]
+    got = extract_text(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert [r.text for r in got if r.url.endswith("plain")] == ["own"]
+
+
 TEXT = (
     "Mr. John Smith wrote to Mrs Smith and Herr Müller: Bob.X@Mail.co.uk, +1 (988) 555-2485, 988-555-2485, 42.144.35.254, "
     "4111 1111 1111 1111, 4785380592391139, DE89 3704 0044 0532 0130 00, 123-45-6789, Госпожа Анна Иванова, Κύριος Νίκος"
