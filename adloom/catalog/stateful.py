@@ -33,11 +33,13 @@ def _first_by_time(s, f):
     path = staging_path(s, "events")
     key = F.concat_ws("-", F.col("user_id"), F.col("event_type"))
     events = b.table(s, f, "events").select(key.alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    events.repartition(FILES, F.xxhash64("event_id")).write.parquet(f"{path}/in")
+    # Two batches of files, and a task for each core to read one.
+    half = max(FILES // 2, s.sparkContext.defaultParallelism)
+    events.repartition(2 * half, F.xxhash64("event_id")).write.parquet(f"{path}/in")
     ahead = (F.max("ts") + F.make_dt_interval(F.lit(LATE + 1))).alias("ts")
     last = events.agg(ahead).select(F.lit(None).cast("string").alias("id"), "ts", F.lit(-1).cast("long").alias("event_id"))
     last.write.mode("append").parquet(f"{path}/in")
-    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/in")
+    stream = s.readStream.schema(events.schema).option("maxFilesPerTrigger", half).parquet(f"{path}/in")
     first = first_by_time_stream(stream, "id", "ts", "event_id", f"{LATE} days", 86_400 * LATE)
     writer = first.writeStream.format("parquet").option("checkpointLocation", f"{path}/state")
     writer.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
