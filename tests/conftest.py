@@ -16,6 +16,7 @@ def spark():
         "local[8]",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
+        spark__sql__ui__retainedExecutions="100000",  # tests count executions; the whole suite has over the usual 1,000
         spark__driver__memory="6g",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="adloom-tests-"),
     )
